@@ -12,6 +12,8 @@ MODULES = (
     "quality_rules",
     "mixing",
     "chat_format",
+    "packing",
+    "token_files",
 )
 
 
