@@ -14,6 +14,9 @@ MODULES = (
     "chat_format",
     "packing",
     "token_files",
+    "quality_knn",
+    "toxicity",
+    "warc",
 )
 
 
