@@ -17,6 +17,7 @@ MODULES = (
     "quality_knn",
     "toxicity",
     "warc",
+    "neighbours",
 )
 
 
