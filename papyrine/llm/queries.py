@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with NAME, query and, where SQL can express it, SQL.
 MODULES = (
+    "jaccard",
     "quality_rules",
     "mixing",
     "chat_format",
