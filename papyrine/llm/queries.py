@@ -33,7 +33,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.NAME: m.query for m in _modules()}
+    return {m.NAME: m.query for m in _modules()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
