@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
