@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +55,26 @@ def estimate(values: DataFrame, *names: str) -> DataFrame:
 
 
 def random_trials(pool: DataFrame, trials: int, k: int, seed: int) -> DataFrame:
-    """trial, paper_id, rank: k papers a trial in order of a hash of seed, trial and id."""
+    """trial, paper_id, rank: k papers a trial, of the whole pool, in order of a hash of seed, trial and id."""
     if trials < 1 or k < 1:
         raise ValueError("trials and k must be positive")
-    spark = pool.sparkSession
-    t = spark.range(trials).select(F.col("id").alias("trial"))
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), "paper_id"), 256)
-    drawn = pool.select("paper_id").join(t).withColumn("h", order)  # each trial draws from the whole pool
+
+    def least(batches):
+        """A partition's k least hashes of each trial."""
+        kept = [[] for _ in range(trials)]
+        for batch in batches:
+            ids = [i.encode() for i in batch.column(0).to_pylist() if i is not None]
+            for at in range(0, len(ids), 1000):
+                part = ids[at : at + 1000]
+                for t, best in enumerate(kept):
+                    first = f"{seed}:{t}:".encode()
+                    bound = best[-1][0] if len(best) == k else b"\xff" * 33
+                    if found := [(h, i) for i in part if (h := sha256(first + i).digest()) < bound]:
+                        kept[t] = sorted(best + found)[:k]
+        rows = [(t, h, i.decode()) for t, best in enumerate(kept) for h, i in best]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else ([], [], []), (pa.int64(), pa.binary(), pa.string()), strict=True)], ["trial", "h", "paper_id"])
+
+    ids = pool.select("paper_id").repartition(pool.sparkSession.sparkContext.defaultParallelism)  # an id is little to read and hashed once a trial
     n = F.row_number().over(Window.partitionBy("trial").orderBy("h"))
+    drawn = ids.mapInArrow(least, "trial long, h binary, paper_id string")
     return drawn.withColumn("rank", n).where(F.col("rank") <= k).select("trial", "paper_id", F.col("rank").cast("bigint").alias("rank"))

@@ -14,6 +14,7 @@ from papyrine.plans import retrieval as R
 from papyrine.sources.tables import is_anchor, labels, papers
 
 N = 6
+TRIALS_DRAWN = 1000
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
@@ -92,7 +93,7 @@ def classification_metrics(spark, d):
 
 
 def trials(spark, d) -> DataFrame:
-    return M.judged(M.random_trials(papers(spark, d).where("pos < 200"), 20, 10, 42), labels(spark, d), 10, "trial")
+    return M.judged(M.random_trials(papers(spark, d), TRIALS_DRAWN, 10, 42), labels(spark, d), 10, "trial")
 
 
 def random_baseline(spark, d):
