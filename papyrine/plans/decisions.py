@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from papyrine.functions import text as T
 from papyrine.operators import decision as D
 from papyrine.operators import providers as P
+from papyrine.operators.ranking import FUNNEL
 from papyrine.plans import evaluation as E
 from papyrine.plans import retrieval as R
 from papyrine.sources.state import FetchOutcome
@@ -99,10 +100,10 @@ def normalize_id(spark, d):
 
 def review_list(spark, d):
     p = papers(spark, d)
-    top = R.hybrid(spark, d).where("rank <= 40").join(p, "pos").join(labels(spark, d), "paper_id", "left")
-    label, score = F.coalesce("label", F.lit("-")), F.col("n_chars") % 11
-    star = ((F.col("rank") <= 30) & (label != "rel")) | score.isin(6, 7)
-    return top.select("rank", "paper_id", label.alias("label"), score.alias("score"), star.alias("star"), F.translate("title", "|\n", "/ ").alias("title"))
+    ranked = R.hybrid(spark, d).join(p, "pos").join(labels(spark, d), "paper_id", "left")
+    label, score = F.coalesce("label", F.lit("-")), F.when(F.col("rank") <= FUNNEL, F.col("n_chars") % 11)  # only the head is scored
+    star = ((F.col("rank") <= 30) & (label != "rel")) | F.coalesce(score.isin(6, 7), F.lit(False))
+    return ranked.select("rank", "paper_id", label.alias("label"), score.alias("score"), star.alias("star"), F.translate("title", "|\n", "/ ").alias("title"))
 
 
 def report_lines(spark, d):

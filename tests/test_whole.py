@@ -25,3 +25,14 @@ def test_random_baseline(spark):
     assert {r.trial: (r.precision, r.recall, r.coverage) for r in QUERIES["random_baseline"](spark, D).collect()} == want
     mean = {r.metric: (r.mean, r.valid) for r in QUERIES["estimate"](spark, D).collect()}
     assert mean["recall"][1] == 1000 and abs(mean["recall"][0] - sum(w[1] for w in want.values()) / 1000) < 2e-6
+
+
+def test_review_list(spark):
+    docs, labels = dict(column("documents", "doc_id", "n_chars")), dict(column("labels", "doc_id", "quality"))
+    rows = QUERIES["review_list"](spark, D).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, len(docs) + 1)) and {int(r.paper_id) for r in rows} == set(docs)
+    for r in rows:
+        i, head = int(r.paper_id), r["rank"] <= 30
+        label = {None: "-", 1: "rel", 0: "irrel"}[labels.get(i)]
+        score = docs[i] % 11 if head else None
+        assert (r.label, r.score, r.star) == (label, score, (head and label != "rel") or score in (6, 7))
