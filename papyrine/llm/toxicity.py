@@ -63,7 +63,7 @@ def _counts(texts, index: _Index) -> tuple[np.ndarray, np.ndarray]:
             for i in hit:
                 x[row, i] += 1
         size = max(1, len(words))
-        pats[row] = (sum(map(str.isupper, text[:10_000:7])) * 7 / max(1, min(len(text), 10_000)), text.count("!") / size, x[row].sum() / size)
+        pats[row] = (sum(map(str.isupper, text)) / max(1, len(text)), text.count("!") / size, x[row].sum() / size)
         x[row] /= math.sqrt(size)
     return x, pats
 

@@ -36,3 +36,10 @@ def test_review_list(spark):
         label = {None: "-", 1: "rel", 0: "irrel"}[labels.get(i)]
         score = docs[i] % 11 if head else None
         assert (r.label, r.score, r.star) == (label, score, (head and label != "rel") or score in (6, 7))
+
+
+def test_shouting():
+    from papyrine.llm.toxicity import _counts, _Index
+
+    texts = ["Ab", "a" * 10_000 + "B" * 30_000, "ABCDEFGabcdefg", ""]
+    assert [round(float(p[0]), 6) for p in _counts(texts, _Index([]))[1]] == [0.5, 0.75, 0.5, 0.0]
