@@ -43,3 +43,9 @@ def test_shouting():
 
     texts = ["Ab", "a" * 10_000 + "B" * 30_000, "ABCDEFGabcdefg", ""]
     assert [round(float(p[0]), 6) for p in _counts(texts, _Index([]))[1]] == [0.5, 0.75, 0.5, 0.0]
+
+
+def test_cache_misses(spark):
+    cached = {i for (i,) in column("embeddings", "vec_id")}
+    want = sorted(str(i) for (i,) in column("documents", "doc_id") if i not in cached)
+    assert sorted(r.paper_id for r in QUERIES["cache_misses"](spark, D).collect()) == want
