@@ -90,7 +90,11 @@ def qa_context(spark, d):
 
 def candidate_json(spark, d):
     p = papers(spark, d).where("lang = 'en'")
-    fields = F.to_json(F.struct(T.collapse_ws(F.col("title"), 50).alias("title"), F.col("category").alias("category")))
+    cut = {"title": ("title", 500), "abstract": ("summary", 1000)}
+    texts = [T.collapse_ws(F.col(c), n).alias(name) for name, (c, n) in cut.items()]
+    reason = T.collapse_ws(F.lit("frozen"), 300).alias("ranking_reason")
+    categories = F.slice(F.array_compact(F.array("category")), 1, 10).alias("categories")
+    fields = F.to_json(F.struct((F.col("n_chars") % 11).alias("score"), *texts, reason, categories), {"ignoreNullFields": "false"})
     return p.select("paper_id", T.safe_json(fields).alias("json"))
 
 

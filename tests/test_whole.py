@@ -49,3 +49,13 @@ def test_cache_misses(spark):
     cached = {i for (i,) in column("embeddings", "vec_id")}
     want = sorted(str(i) for (i,) in column("documents", "doc_id") if i not in cached)
     assert sorted(r.paper_id for r in QUERIES["cache_misses"](spark, D).collect()) == want
+
+
+def test_candidate_json(spark):
+    import json
+
+    flat = lambda x, n: " ".join(x.split())[:n]
+    want = {str(i): (c % 11, flat(t.split(".")[0], 500), flat(t, 1000), "frozen", [s]) for i, t, lang, s, c in column("documents", "doc_id", "text", "lang", "source", "n_chars") if lang == "en"}
+    rows = QUERIES["candidate_json"](spark, D).collect()
+    assert {r.paper_id: tuple(json.loads(r.json)[k] for k in ("score", "title", "abstract", "ranking_reason", "categories")) for r in rows} == want
+    assert not any("<" in r.json or ">" in r.json for r in rows)
