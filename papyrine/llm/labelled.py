@@ -14,9 +14,10 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
-    """doc_id, text and y of at most per_class rows of either label, least hash first, among labels where learn holds.
+    """doc_id, text and y of at most per_class documents of either label, least hash first, among labels where learn holds.
 
-    Rows with a null id or label are left out; an id with several labels counts once, with the largest.
+    Rows with a null id or label are left out; an id with several labels counts once, with the largest; of several
+    rows of one id the text of the least hash counts, so the sample is bounded by rows too.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -24,4 +25,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     chosen = reduce(DataFrame.unionByName, parts)
     # the chosen ids are bounded by twice per_class, so they may be broadcast
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return found
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return one.select("doc_id", F.col("least.text").alias("text"), "y")

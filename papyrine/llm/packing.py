@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.llm.common import cut
-from papyrine.llm.word_ids import default_path, word_ids
+from papyrine.llm.word_ids import word_ids
 
 SIZE = 2048
 #: Rounds of the multiplicative weights and their step.
@@ -36,17 +36,20 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = 0, path: str | None = N
     """docs: doc_id, text. Gives doc_id, piece, start, length and ids_crc32 of each piece."""
 
     def run(batches):
-        ids_of = word_ids(path or default_path()).encode
         tail = end.to_bytes(4, "little")
-        for batch in batches:
-            out = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + tail
-                for k, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    for column, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with word_ids(path) as words:
+            for batch in batches:
+                yield cut_up(batch, words, tail)
+
+    def cut_up(batch: pa.RecordBatch, words, tail: bytes) -> pa.RecordBatch:
+        out = ([], [], [], [], [])
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = words.encode(text.as_py() or "") + tail
+            for k, at in enumerate(range(0, len(ids), 4 * size)):
+                part = ids[at : at + 4 * size]
+                for column, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

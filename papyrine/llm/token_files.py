@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.word_ids import default_path, word_ids
+from papyrine.llm.word_ids import word_ids
 
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 64 << 10
 
@@ -33,16 +33,16 @@ def encode_documents(docs: DataFrame, end: int = 2, path: str | None = None) ->
     ordered = docs.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches):
-        ids_of = word_ids(path or default_path()).encode
         tail = end.to_bytes(4, "little")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                held = [ids_of(t.as_py()) + tail for t in part.column(1)]
-                offsets = np.cumsum([0, *(len(b) // 4 for b in held)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(held), "<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+        with word_ids(path) as words:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    held = [words.encode(t.as_py()) + tail for t in part.column(1)]
+                    offsets = np.cumsum([0, *(len(b) // 4 for b in held)]).astype(np.int32)
+                    values = pa.array(np.frombuffer(b"".join(held), "<i4"))
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), values)
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     return ordered.mapInArrow(run, "doc_id long, ids array<int>")
 

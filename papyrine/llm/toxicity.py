@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled rows gives, by counts over its documents, the terms (words, and beginnings
-   of 4 to 6 letters) that stand out in toxic rows. They form the lexicons of many voters: by kind of
+   of 4 to 7 letters) that stand out in toxic rows. They form the lexicons of many voters: by kind of
    term and rank. Pattern voters add shouting, exclamations and the share of marked words.
 2. A generative label model (a latent label with a table of each voter's votes by class) is fitted to the
    votes by expectation maximisation, without labels. Correlations of the voters within the classes are
@@ -9,34 +9,40 @@
 3. A linear classifier on the terms' counts is trained on the posterior labels; its margin is scaled and
    shifted to the sample's labels, and it scores every text whole.
 
-Only the sample (2 * PER_CLASS rows, by hash order) and MOST_TERMS terms reach the driver.
+Only the sample (2 * PER_CLASS documents, by hash order) and MOST_TERMS terms reach the driver.
 Nulls: a null text is empty; it and empty texts get the score of a text without terms. Repeated rows
-score alike. An empty table gives no rows; without labels of both kinds every score is 0. Extra columns
-pass through `score`; a clashing score column is replaced.
+score alike; of rows with one id and several texts the sample takes that of the least hash. An empty
+table gives no rows; without labels of both kinds every score is 0. Very long texts are read whole.
+Extra columns pass through, whatever their names; a clashing score column is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from papyrine.llm.labelled import sample
 
-PER_CLASS, MOST_TERMS, LEXICONS = 3000, 600, 6
-CACHE_WORDS = 300_000
+PER_CLASS, MOST_TERMS, LEXICONS, BLOCK = 3000, 400, 6, 500
+#: Letters of the beginnings that are terms.
+BEGINNINGS = (4, 5, 6, 7)
+#: A term is in this share of toxic rows at least, against clean rows as if both were as many.
+LEAST_SHARE = 0.8
+CACHE_WORDS = 100_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
 def terms_of(word: str) -> list[str]:
     """A lower-case word's terms: w: itself, and p: its beginnings."""
     word = _EDGE.sub("", word)
-    return [f"w:{word}", *(f"p:{word[:k]}" for k in (4, 5, 6) if len(word) > k)] if len(word) > 1 else []
+    return [f"w:{word}", *(f"p:{word[:k]}" for k in BEGINNINGS if len(word) > k)] if len(word) > 1 else []
 
 
 class _Index(dict):
@@ -69,7 +75,7 @@ def _counts(texts, index: _Index) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _choose_terms(train: DataFrame, most: int) -> list[str]:
-    """Terms by smoothed log odds, in at least 3 toxic rows and of 9 parts in 10 toxic."""
+    """Terms by smoothed log odds, in at least 3 toxic rows and LEAST_SHARE toxic."""
     def run(batches):
         for batch in batches:
             for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
@@ -82,13 +88,13 @@ def _choose_terms(train: DataFrame, most: int) -> list[str]:
     by = train.mapInArrow(run, "term string, toxic int, clean int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("c") + 0.5) / (sizes[0] + 1.0))
     share = F.col("t") / sizes[1] / (F.col("t") / sizes[1] + F.col("c") / sizes[0])
-    best = by.where("t >= 3").withColumn("odds", odds).where(share >= 0.9).orderBy(F.desc(F.col("odds") * F.log1p("t")), "term").limit(most)
+    best = by.where("t >= 3").withColumn("odds", odds).where(share >= LEAST_SHARE).orderBy(F.desc(F.col("odds") * F.log1p("t")), "term").limit(most)
     return [r.term for r in best.collect()]
 
 
 def votes(x: np.ndarray, pats: np.ndarray, terms: list[str], lexicons: int = LEXICONS) -> np.ndarray:
     """1 toxic, 0 clean, 2 abstains; a column each voter."""
-    kinds = [[i for i, t in enumerate(terms) if t.startswith("w:")]] + [[i for i, t in enumerate(terms) if t.startswith("p:") and len(t) == k + 2] for k in (4, 5, 6)]
+    kinds = [[i for i, t in enumerate(terms) if t.startswith("w:")]] + [[i for i, t in enumerate(terms) if t.startswith("p:") and len(t) == k + 2] for k in BEGINNINGS]
     found = []
     for places in kinds:
         for k in range(lexicons):
@@ -155,50 +161,57 @@ class Model:
         self.terms, self.weights, self.bias, self.tables, self.correlations = terms, weights, bias, tables, correlations
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS, most: int = MOST_TERMS) -> Model:
-    train = sample(docs, labels, label, learn, per_class).persist()
+def learn(x: np.ndarray, pats: np.ndarray, y: np.ndarray, terms: list[str]) -> Model:
+    """From terms' counts, patterns' values and labels of the sample's rows."""
+    post, tables, corr = label_model(votes(x, pats, terms))
+    weights, bias = _linear(x, post)
+    scale, bias2 = _calibrate(x @ weights + bias, y)
+    return Model(terms, weights * scale, bias * scale + bias2, tables, corr)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learns: Column, label: str = "toxic", per_class: int = PER_CLASS, most: int = MOST_TERMS) -> Model:
+    train = sample(docs, labels, label, learns, per_class).persist()
     try:
         terms = _choose_terms(train, most)
         if not terms:
             return Model([], np.zeros(0), -50.0)
 
-        def run(frames):
+        def run(batches):
             index = _Index(terms)
-            for f in frames:
-                for at in range(0, len(f), 500):
-                    x, pats = _counts(f.text[at : at + 500].tolist(), index)
-                    yield pd.DataFrame({"id": f.doc_id[at : at + 500], "y": f.y[at : at + 500], "x": list(x), "pats": list(pats)})
-
-        rows = train.mapInPandas(run, "id long, y int, x array<float>, pats array<float>").toPandas().sort_values("id")
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(at, BLOCK)
+                    x, pats = _counts([t.as_py() for t in part.column("text")], index)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]), pa.array(c.ravel())) for c in (x, pats)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *lists], ["doc_id", "y", "x", "pats"])
+
+        rows = train.mapInArrow(run, "doc_id long, y int, x array<float>, pats array<float>").toArrow().sort_by("doc_id").combine_chunks()
     finally:
         train.unpersist()
-    x, pats = np.stack(rows.x).astype(float), np.stack(rows.pats).astype(float)
-    post, tables, corr = label_model(votes(x, pats, terms))
-    weights, bias = _linear(x, post)
-    scale, bias2 = _calibrate(x @ weights + bias, rows.y.to_numpy(float))
-    return Model(terms, weights * scale, bias * scale + bias2, tables, corr)
+    x, pats = (np.stack([v.values.to_numpy() for v in rows[c]]).astype(float) for c in ("x", "pats"))
+    return learn(x, pats, rows["y"].to_numpy().astype(float), terms)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a score from 0 to 1; every text is read whole."""
-    docs = docs.drop("score")
-    names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, model.bias))
+def scored(text: Column, model: Model) -> Column:
+    """The score of a text column; only the text goes to Python, and only the score comes back."""
+    terms, weights, bias = model.terms, model.weights.tolist(), float(model.bias)
 
-    def run(batches):
-        terms, weights, bias = sent.value
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = _Index(terms)
-        w = weights.tolist()
         for batch in batches:
             found = []
-            for cell in batch.column(text):
+            for cell in batch:
                 words = (cell.as_py() or "").lower().split()
                 total = 0.0
                 for hit in filter(None, map(index.__getitem__, words)):
                     for i in hit:
-                        total += w[i]
+                        total += weights[i]
                 found.append(1 / (1 + math.exp(-max(-50.0, min(50.0, total / math.sqrt(max(1, len(words))) + bias)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "score"])
+            yield pa.array(found, pa.float64())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return F.arrow_udf(run, DoubleType())(text)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with a score from 0 to 1; every text is read whole."""
+    return docs.withColumn("score", scored(F.col(f"`{text}`"), model))

@@ -4,6 +4,8 @@ The tokenizer drops white space and never merges over it, so a text's ids are it
 Each distinct word is encoded once a cache generation; the cache is cleared at a fixed size. Words of
 plain letters, digits and signs go straight to the library's BPE model, cut by the file's own pattern;
 all others (controls, marks, letters beyond U+012F, special tokens) go through the library's encode.
+
+A null text is for the caller to read as empty; an empty one has no ids. Very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import regex
 
 #: Words held at once; about 200 bytes each.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 200_000
 LAST_PLAIN = "\u012f"
 PLAIN = regex.compile(r"[!-~\xa1-\xac\xae-į]+")
 
@@ -88,7 +92,14 @@ def _odd(text: str) -> bool:
     return _ODD.search(text) is not None
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One a Python worker."""
-    return WordIds(path)
+_loaded = lru_cache(maxsize=1)(WordIds)
+
+
+@contextmanager
+def word_ids(path: str | None = None) -> Iterator[WordIds]:
+    """One a Python worker, for the length of a task: the words are let go at its end, the tokenizer is kept."""
+    ids = _loaded(path or default_path())
+    try:
+        yield ids
+    finally:
+        ids.clear()
