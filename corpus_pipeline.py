@@ -21,9 +21,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    scored = toxicity.score(held, model(spark, docs, sf_dir))
-    return scored.where(F.col("score") < THRESHOLD).select("row.*")
+    return docs.where(toxicity.scored(F.col("text"), model(spark, docs, sf_dir)) < THRESHOLD)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
