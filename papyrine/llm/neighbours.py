@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import cut
+from papyrine.llm.common import cut, let
 
 HASH_TABLES, TOP, SEED = 4, 5, 7
 PROBED_SHARE, PROBED_POWER, MOST_PROBES = 0.6, 0.22, 8192
@@ -208,13 +208,12 @@ def _cosine(a: Column, b: Column) -> Column:
     def scaled(v: Column) -> Column:
         most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
         by = F.pow(F.lit(2.0), F.floor(F.log2(most)).cast("double"))
-        return F.transform(v, lambda x: x.cast("double") / by)
+        return let(by, lambda b: F.transform(v, lambda x: x.cast("double") / b))
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
 
-    x, y = scaled(a), scaled(b)
-    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    return let(F.struct(scaled(a).alias("x"), scaled(b).alias("y")), lambda v: dot(v["x"], v["y"]) / (F.sqrt(dot(v["x"], v["x"])) * F.sqrt(dot(v["y"], v["y"]))))
 
 
 def search(vectors: DataFrame, asks: Column, top: int = TOP, tables: int = HASH_TABLES, rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
