@@ -1,15 +1,22 @@
 """Best-fit packing of token pieces into sequences, by a configuration linear program.
 
 Only the histogram of lengths (at most `size` numbers) reaches the driver. There, min sum x over fillings
-c of a sequence with sum a[c, l] x[c] >= b[l] is solved by multiplicative weights: a length's weight falls
-as exp(-eps * covered share); a knapsack dynamic program prices the best filling at these weights; it is
-taken as often as its scarcest length allows. Fillings are rounded down, and what is left goes by best
-fit, longest first, into the gaps, in runs of equal pieces, so its work follows the histogram and not the
-pieces. Pieces are numbered within their length by salted counts and find their place by that number in
-a plan of bounded size (its rows are fillings times their lengths).
+c of a sequence with sum a[c, l] x[c] = b[l] is solved by multiplicative weights: a length's price is its
+tokens times exp(-eta * covered share), so lengths that lag behind gain; a knapsack dynamic program prices
+the best filling of every capacity at these prices, so the best through every length is known, too. Those
+worth nearly as much as the best are bought in bulk, lagging lengths first: of no length more than STEP of
+its need in a round, and none beyond its need. This goes on until every length is covered, so the
+fractional solution is feasible; tests compare its size with the tokens' bound (1 % at most).
+
+It is rounded down, then fillings that are full get one more by falling fraction while pieces last, and
+what is left goes by best fit, longest first, into the gaps, in runs of equal pieces, so its work follows
+the histogram and not the pieces. `placed` tells the share of tokens that the program placed. Pieces
+are numbered within their length by salted counts and find their place by that number in a plan of bounded
+size (its rows are fillings times their lengths).
 
 Nulls: a null text is empty and has only the end id. Repeated rows are packed each by itself. An empty
-table gives no pieces. Very long texts are cut into pieces of `size`. Other columns are not read.
+table gives no pieces. Very long texts are cut into pieces of `size`. Other columns pass through `pack`,
+whatever their names, but for sequence_id and offset; `pack_documents` does not read them.
 """
 
 from __future__ import annotations
@@ -21,13 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from papyrine.llm.common import cut
 from papyrine.llm.word_ids import word_ids
 
 SIZE = 2048
-#: Rounds of the multiplicative weights and their step.
-ROUNDS, EPS = 400, 0.5
+#: The most rounds of the multiplicative weights, how fast prices fall with the covered share, the share of a need that a round
+#: buys, and the loss of worth that a bought filling may have.
+ROUNDS, ETA, STEP, LOSS = 3000, 2.0, 0.2, 0.8
+#: From this fill on a filling is rounded up.
+FULL = 0.998
 #: Pieces of a length that one task numbers.
 NUMBERED_AT_ONCE = 1000
 
@@ -55,63 +66,100 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = 0, path: str | None = N
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_filling(value: np.ndarray, size: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the filling of at most `size` with the largest value; value[l] is of length l, 0 if absent."""
+def best_fillings(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: for each capacity the largest value of a filling and the length of one of its pieces (0: none
+    that ends there); value[l] is of length l, 0 if absent."""
     lengths = np.flatnonzero(value)
     worth = value[lengths]
     best, pick = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    upto = np.searchsorted(lengths, np.arange(size + 1), "right")
     for c in range(int(lengths[0]), size + 1):
-        k = np.searchsorted(lengths, c, "right")
-        got = best[c - lengths[:k]] + worth[:k]
+        got = best[c - lengths[: upto[c]]] + worth[: upto[c]]
         i = int(got.argmax())
         if got[i] > best[c - 1]:
             best[c], pick[c] = got[i], lengths[i]
         else:
             best[c] = best[c - 1]
-    filling: dict[int, int] = defaultdict(int)
-    c = size
-    while c > 0:
-        if pick[c]:
-            filling[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return dict(filling)
+    return best, pick
 
 
-def fractional(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, eps: float = EPS) -> dict[tuple, float]:
-    """x by filling, scaled so that the best covered share is 1 at most: what rounding down can use."""
-    need = counts.astype(float)
-    covered = np.zeros(size + 1)
-    x: dict[tuple, float] = defaultdict(float)
-    if not need.any():
-        return {}
+def _filling(pick: np.ndarray, capacity: int) -> dict[int, int]:
+    filling: dict[int, int] = defaultdict(int)
+    while capacity > 0:
+        piece = int(pick[capacity])
+        if piece:
+            filling[piece] += 1
+        capacity -= piece or 1
+    return filling
+
+
+def fractional(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> dict[tuple, float]:
+    """x by filling: every length's need is covered, none is exceeded."""
+    need, x = counts.astype(float), defaultdict(float)
+    if need[size]:  # full already
+        x[((size, 1),)], need[size] = need[size], 0
+    left = need.copy()
+    tokens = np.arange(size + 1, dtype=float)
     for _ in range(rounds):
-        weight = np.where(need > 0, np.exp(-eps * (covered - covered[need > 0].min())), 0)
-        value = np.divide(weight, need, out=np.zeros_like(need), where=need > 0)
-        filling = best_filling(np.maximum(value, np.where(need > 0, 1e-300, 0)), size)
-        step = min(need[n] / k for n, k in filling.items())
-        x[tuple(sorted(filling.items(), reverse=True))] += step
-        for n, k in filling.items():
-            covered[n] += step * k / need[n]
-    level = max(1.0, float(np.average(covered[need > 0], weights=need[need > 0])))
-    return {c: v / level for c, v in x.items()}
+        open_ = left > 0
+        if not open_.any():
+            break
+        done = np.divide(need - left, need, out=np.zeros_like(need), where=need > 0)
+        price = np.where(open_, tokens * np.exp(-ETA * (done - done[open_].min())), 0)
+        best, pick = best_fillings(price, size)
+        lengths = np.flatnonzero(open_)
+        near = lengths[price[lengths] + best[size - lengths] >= (1 - LOSS) * best[size]]
+        quota = np.minimum(STEP * need, left)
+        for length in near[np.lexsort((-near, done[near]))].tolist():
+            if quota[length] <= 0:
+                continue
+            filling = _filling(pick, size - length)
+            filling[length] += 1
+            amount = min(quota[n] / k for n, k in filling.items())
+            if amount <= 0:
+                continue
+            x[tuple(sorted(filling.items(), reverse=True))] += amount
+            for n, k in filling.items():
+                for held in (quota, left):
+                    rest = held[n] - amount * k
+                    held[n] = rest if rest > 1e-9 * need[n] else 0.0
+    for n in np.flatnonzero(left).tolist():  # of rounds that ran out
+        x[((n, size // n),)] += left[n] / (size // n)
+    return dict(x)
+
+
+def _rounded(x: dict[tuple, float], counts: np.ndarray, size: int) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """Whole numbers of fillings, and what they leave."""
+    left, runs = counts.astype(np.int64).copy(), defaultdict(int)
+
+    def take(filling: tuple, n: int) -> None:
+        n = min(n, *(int(left[length]) // k for length, k in filling))
+        if n > 0:
+            runs[filling] += n
+            for length, k in filling:
+                left[length] -= n * k
+
+    for filling, amount in x.items():
+        take(filling, int(amount + 1e-9))
+    for filling, amount in sorted(x.items(), key=lambda i: (int(i[1]) - i[1], i[0])):
+        if sum(length * k for length, k in filling) >= FULL * size:
+            take(filling, 1)
+    return list(runs.items()), left
+
+
+def placed(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> float:
+    """The share of all tokens that the linear program places; best fit places the rest."""
+    tokens = np.arange(size + 1)
+    _, left = _rounded(fractional(counts, size, rounds), counts, size)
+    return 1 - float((left * tokens).sum() / max(1, (counts * tokens).sum()))
 
 
 def pack_counts(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[tuple, int]]:
     """Fillings ((length, times), ...) and how many sequences have each; every piece counted is in one."""
-    left = counts.astype(np.int64).copy()
-    runs: list[tuple[tuple, int]] = []
-    if left[size]:
-        runs.append((((size, 1),), int(left[size])))
-        left[size] = 0
+    found, left = _rounded(fractional(counts, size, rounds), counts, size)
     gaps: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
-    for filling, x in sorted(fractional(left, size, rounds).items(), key=lambda i: (-i[1], i[0])):
-        n = min(int(x), *(int(left[length]) // k for length, k in filling))
-        if n:
-            for length, k in filling:
-                left[length] -= n * k
-            gaps[size - sum(length * k for length, k in filling)].append((filling, n))
+    for filling, n in found:
+        gaps[size - sum(length * k for length, k in filling)].append((filling, n))
     for length in np.flatnonzero(left)[::-1].tolist():
         k = int(left[length])
         while k:
@@ -129,7 +177,7 @@ def pack_counts(counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS) -> l
                 gaps[gap].append((filling, n - taken))
             gaps[gap - each * length].append(((*filling, (length, each)), taken))
             k -= each * taken
-    return runs + [run for held in gaps.values() for run in held if run[1]]
+    return [run for held in gaps.values() for run in held if run[1]]
 
 
 def _plan(runs: list[tuple[tuple, int]]) -> dict[int, tuple]:
@@ -176,8 +224,8 @@ def pack(parts: DataFrame, size: int = SIZE, rounds: int = ROUNDS) -> DataFrame:
                 sequence[here], offset[here] = base[i] + k // times[i], start[i] + k % times[i] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "place")
-    return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    schema = StructType([f for f in numbered.schema if f.name != "place"]).add("sequence_id", "long").add("offset", "long")
+    return numbered.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, size: int = SIZE, end: int = 0, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
