@@ -13,7 +13,21 @@ MAX_ATTEMPTS, MAX_REFLECTIONS, MIN_RELEVANT = 3, 3, 3
 BASE = ("cs.AI", "cs.LG")
 ACTIONS = ("widen", "refocus", "stop")
 # The categories a search may be widened to.
-ALLOWED = frozenset("cs.AI cs.AR cs.CC cs.CE cs.CG cs.CL cs.CR cs.CV cs.CY cs.DB cs.DC cs.DL cs.DM cs.DS cs.ET cs.FL cs.GL cs.GR cs.GT cs.HC cs.IR cs.IT cs.LG cs.LO cs.MA cs.MM cs.MS cs.NA cs.NE cs.NI cs.OH cs.OS cs.PF cs.PL cs.RO cs.SC cs.SD cs.SE cs.SI cs.SY stat.ML eess.AS eess.IV eess.SP eess.SY math.OC".split())
+ALLOWED = frozenset({
+    "cs.AI", "cs.AR", "cs.CC", "cs.CE", "cs.CG", "cs.CL", "cs.CR", "cs.CV", "cs.CY", "cs.DB", "cs.DC", "cs.DL",
+    "cs.DM", "cs.DS", "cs.ET", "cs.FL", "cs.GL", "cs.GR", "cs.GT", "cs.HC", "cs.IR", "cs.IT", "cs.LG", "cs.LO",
+    "cs.MA", "cs.MM", "cs.MS", "cs.NA", "cs.NE", "cs.NI", "cs.OH", "cs.OS", "cs.PF", "cs.PL", "cs.RO", "cs.SC",
+    "cs.SD", "cs.SE", "cs.SI", "cs.SY", "eess.AS", "eess.IV", "eess.SP", "eess.SY", "math.OC", "stat.ML",
+})
+# The category codes that a query's keywords call for.
+HINTS = [
+    ("cs.CL", ("language", "llm", "nlp", "text generation", "dialogue")),
+    ("cs.IR", ("retrieval", "search", "rag", "rerank", "reranking", "information retrieval")),
+    ("cs.RO", ("robot", "robotics", "embodied")),
+    ("cs.CR", ("security", "privacy", "cryptography", "cybersecurity")),
+    ("cs.DB", ("database", "databases", "data management")),
+    ("cs.MA", ("multi-agent", "multiagent")),
+]
 
 
 @dataclass(frozen=True)
@@ -42,8 +56,6 @@ def route(action: str) -> str:
 
 def hints(query: str, categories) -> list[str]:
     """Categories that the query's keywords call for and that are not there yet."""
-    from papyrine.plans.relational import HINTS
-
     low = query.casefold()
     alone = lambda k: re.search(rf"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])", low)
     return [c for c, words in HINTS if c not in categories and any(map(alone, words))]
@@ -82,13 +94,22 @@ def widened(value, s: LoopState) -> list[str]:
     return sorted([c for c in asked if c in ALLOWED and c not in s.categories and (not wanted or c in wanted)][:2])
 
 
-def apply_policy(raw: str | None, s: LoopState) -> tuple[str, LoopState]:
-    """The action taken on a model's raw answer, and the next state. Whatever is not sound stops."""
+def parsed(raw) -> tuple[bool, dict]:
+    """Whether a raw answer keeps to its schema, and the answer as far as it is an object."""
     try:
         answer = json.loads(raw)
     except (TypeError, ValueError):
-        answer = None
-    answer = answer if isinstance(answer, dict) else {}
+        return False, {}
+    if not isinstance(answer, dict):
+        return False, {}
+    listed = answer.get("new_categories")
+    own = {"refocus": isinstance(answer.get("new_query"), str), "widen": isinstance(listed, list) and all(isinstance(c, str) for c in listed)}
+    return answer.get("action") in ACTIONS and isinstance(answer.get("why"), str) and own.get(answer["action"], True), answer
+
+
+def apply_policy(raw: str | None, s: LoopState) -> tuple[str, LoopState]:
+    """The action taken on a model's raw answer, and the next state. Whatever is not sound stops."""
+    _, answer = parsed(raw)
     why = answer.get("why")
     action = answer.get("action") if answer.get("action") in ACTIONS and isinstance(why, str) and why.strip() else "stop"
     source, called = "model", hint(s)
@@ -99,7 +120,8 @@ def apply_policy(raw: str | None, s: LoopState) -> tuple[str, LoopState]:
         action = "stop"
     if action == "widen" and called == "widen":
         source = "model_with_trusted_policy"
-    event = {"reflection": s.reflections + 1, "action": action, "source": source, "reason": " ".join((why if isinstance(why, str) else "").split())[:200]}
+    reason = " ".join((why if isinstance(why, str) else "").split())[:200]
+    event = {"reflection": s.reflections + 1, "action": action, "source": source, "reason": reason, "query": query if action == "refocus" else "", "categories": more if action == "widen" else []}
     return action, replace(
         s,
         reflections=s.reflections + 1,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MISSING, FAILED = (0, "missing"), (0, "call failed")
 
@@ -36,6 +38,29 @@ def embed_offline(texts: list[str], dims: int = 64) -> np.ndarray:
     return out
 
 
+def embedded(text: Column, model: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: embed_offline) -> Column:
+    """array<double> of a text column; a model is loaded once a task, batches go to it as Arrow hands them over."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed = model()
+        for batch in batches:
+            yield pd.Series(list(embed(batch.fillna("").tolist())))
+
+    return F.pandas_udf(run, "array<double>")(text)
+
+
+def answer(question: str, records: list[dict], ask: Callable[[str, list[dict]], str]) -> tuple[str, list[str]]:
+    """An answer over numbered records and the ids it cites; refused where there are none, or it cites what it was not given."""
+    if not records:
+        return "nothing relevant", []
+    said = ask(question, records).strip()
+    cited = {int(n) for n in re.findall(r"\[(\d+)\]", said)}
+    known = {r["source_id"]: r["id"] for r in records}
+    if not cited or not cited <= set(known):
+        return "the answer's citations do not hold", []
+    return said, [known[n] for n in sorted(cited)]
+
+
 def parse_scores(response, n: int) -> tuple[list[tuple[int, str]], bool]:
     """(score, reason) of rows 1 to n from JSON lines, and whether anything was amiss."""
     got: dict[int, tuple[int, str]] = {}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from papyrine.functions.text import tokenize
 from papyrine.functions.vector import cosine
 from papyrine.operators.ranking import global_rank
+from papyrine.sources.tables import checkpointed
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
@@ -21,16 +22,6 @@ def dense_rank(vectors: DataFrame, query: list[float], key: str = "vec_id", vect
     return global_rank(sims, F.desc("sim"), F.col(key))
 
 
-def term_counts(docs: DataFrame, text: Column, key: str = "pos") -> DataFrame:
-    """key, term, tf."""
-    return docs.select(key, F.explode(tokenize(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
-    """One row: n and avgdl; documents without tokens count with length 0."""
-    return docs.select(F.size(tokenize(text)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def idf_table(docs: DataFrame, text: Column) -> DataFrame:
     """term, df and idf; negative idf becomes EPSILON times the vocabulary's mean before replacement."""
     df = docs.select(F.explode(F.array_distinct(tokenize(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -45,19 +36,26 @@ def idf_table(docs: DataFrame, text: Column) -> DataFrame:
 def bm25_rank(docs: DataFrame, text: Column, query: str, background: DataFrame | None = None, key: str = "pos") -> DataFrame:
     """key, score and rank of all docs; ties by key. Statistics are over docs and background.
 
-    The query's tokens, with their multiplicity, are literals, so only its postings leave the scan.
+    The query's terms are literals, so of a document only its length and its postings of them leave the first
+    pass; a second one counts the vocabulary, whose mean idf replaces negative ones.
     """
     spark = docs.sparkSession
-    corpus = docs.select(text.alias("t")) if background is None else docs.select(text.alias("t")).unionByName(background.select(text.alias("t")))
-    terms = spark.createDataFrame([(query,)], "q string").select(F.explode(tokenize(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    weights = F.broadcast(idf_table(corpus, F.col("t")).join(F.broadcast(terms), "term"))  # at most the query's terms
-    stats = F.broadcast(corpus_stats(corpus, F.col("t")))
-    tokens = docs.select(key, tokenize(text).alias("tokens"))
-    hits = tokens.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(weights, "term")
-    hits = hits.groupBy(key, "dl", "term", "times", "idf").agg(F.count("*").alias("tf")).crossJoin(stats)
+    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokenize(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    asked = {r.term: r.times for r in asked.collect()}  # a query's terms
+    held = docs.select(key, tokenize(text).alias("tokens"))
+    held = checkpointed(held.select(key, F.size("tokens").alias("dl"), F.filter("tokens", lambda x: x.isin(*asked)).alias("hits")))
+    corpus, lengths = docs.select(text.alias("t")), held.select("dl")
+    if background is not None:
+        corpus = corpus.unionByName(background.select(text.alias("t")))
+        lengths = lengths.unionByName(background.select(F.size(tokenize(text)).alias("dl")))
+    stats = F.broadcast(lengths.agg(F.avg("dl").alias("avgdl")))  # one row
+    terms = F.broadcast(spark.createDataFrame(list(asked.items()), "term string, times long"))
+    weights = F.broadcast(idf_table(corpus, F.col("t")).join(terms, "term"))  # at most the query's terms
+    hits = held.select(key, "dl", F.explode("hits").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    hits = hits.join(weights, "term").crossJoin(stats)
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy(key).agg(F.sum(part).alias("score"))
-    scored = docs.select(key).join(scores, key, "left").select(key, F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    scored = held.select(key).join(scores, key, "left").select(key, F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
     return global_rank(scored, F.desc("score"), F.col(key))
 
 

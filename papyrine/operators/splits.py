@@ -55,3 +55,36 @@ def violations(records: DataFrame) -> DataFrame:
     }
     one = [F.struct(F.lit(n).alias("rule"), F.count_if(x).alias("violations")) for n, x in rules.items()]
     return r.agg(F.array(*one).alias("v")).select(F.inline("v"))
+
+
+FIELDS = ("id", "title", "summary", "label", "is_anchor", "score", "reason", "split")
+
+
+def digest(records: DataFrame) -> DataFrame:
+    """records and digest: a sum over the records' hashes, so it needs no order, counts repeats and changes with any field."""
+    h = F.sha2(F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}), 256)
+    return records.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def rerun(records: DataFrame, ratio: float = 0.7, seed: int = 20260717) -> DataFrame:
+    """Judged records that are no anchors whose split is not what stratified() gives again."""
+    free = records.where(~F.col("is_anchor") & F.col("label").isNotNull())
+    again = stratified(free.select(F.col("id").alias("paper_id"), "label"), ratio, seed).select(F.col("paper_id").alias("id"), F.col("split").alias("expected"))
+    return free.join(again, "id").where(F.col("split") != F.col("expected")).select("id", "split", "expected")
+
+
+def verify(records: DataFrame, held: DataFrame, ratio: float = 0.7, seed: int = 20260717) -> DataFrame:
+    """violations, the split made again, and count and digest against those held (a row of digest())."""
+    now = digest(records).select(F.col("records").alias("r"), F.col("digest").alias("d"))
+    against = now.crossJoin(F.broadcast(held))  # a row each
+    stored = against.select(F.lit("stored digest").alias("rule"), F.when((F.col("r") == F.col("records")) & (F.col("d") == F.col("digest")), 0).otherwise(1).cast("bigint").alias("violations"))
+    again = rerun(records, ratio, seed).agg(F.lit("split made again").alias("rule"), F.count("*").alias("violations"))
+    return violations(records).unionByName(again).unionByName(stored)
+
+
+def read_snapshot(records: DataFrame, split: str = "all") -> DataFrame:
+    """of_split of records that are sound; else the broken rules are raised."""
+    broken = {r.rule: r.violations for r in violations(records).where("violations > 0").collect()}  # a row a rule
+    if broken or records.isEmpty():
+        raise ValueError(f"not a sound snapshot: {broken or 'no records'}")
+    return of_split(records, split)

@@ -11,7 +11,7 @@ from papyrine.operators import metrics as M
 from papyrine.operators import ranking as K
 from papyrine.operators import splits as S
 from papyrine.plans import retrieval as R
-from papyrine.sources.tables import is_anchor, labels, papers
+from papyrine.sources.tables import checkpointed, is_anchor, labels, papers
 
 N = 6
 TRIALS_DRAWN = 1000
@@ -21,15 +21,15 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[F.round(c, N).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
-def head(spark, d) -> DataFrame:
-    """The funnel with frozen scores (n_chars % 11, missing for every 13th) and labels."""
+def head(spark, d, ranked: DataFrame | None = None) -> DataFrame:
+    """The funnel (of the hybrid ranking, if there is none yet) with frozen scores (n_chars % 11)."""
     p = papers(spark, d)
-    h = K.funnel(R.hybrid(spark, d)).join(p.select("pos", "paper_id", (F.col("n_chars") % 11).alias("score")), "pos")
+    h = K.funnel(R.hybrid(spark, d) if ranked is None else ranked).join(p.select("pos", "paper_id", (F.col("n_chars") % 11).alias("score")), "pos")
     return h.select("pos", "paper_id", "rank", F.col("score").cast("double").alias("score"))
 
 
-def scored(spark, d, missing: bool = False) -> DataFrame:
-    h = head(spark, d)
+def scored(spark, d, missing: bool = False, ranked: DataFrame | None = None) -> DataFrame:
+    h = head(spark, d, ranked)
     scores = h.where("pos % 13 <> 0") if missing else h
     return K.with_frozen(h.drop("score"), scores.select("paper_id", "score"))
 
@@ -57,7 +57,8 @@ def recommended(spark, d):
 
 
 def exploration(spark, d):
-    top = rank_final(spark, d)
+    """Of the final list by rank alone, what is not recommended."""
+    top = rank_fallback(spark, d).select("paper_id", "score")
     return top.join(top.where(F.col("score") >= K.RELEVANT).select("paper_id"), "paper_id", "left_anti").select("paper_id", "score")
 
 
@@ -66,11 +67,14 @@ def relevant_count(spark, d):
 
 
 def methods(spark, d) -> DataFrame:
+    """The rankings of four methods; each is made once, the fused one from the others and the scored one from that."""
     key = lambda df, name: df.select(F.lit(name).alias("method"), F.col("pos").cast("string").alias("paper_id"), "rank")
+    words = checkpointed(R.bm25(spark, d).select("pos", "rank"))
+    fused = checkpointed(R.hybrid(spark, d, words).select("pos", "rank"))
     dense = R.dense(spark, d).withColumnRenamed("vec_id", "pos")
     dense = dense.join(papers(spark, d).select("pos"), "pos", "left_semi")
-    final = K.final_order(scored(spark, d), top_k=K.FUNNEL).select("pos", F.col("final_rank").alias("rank"))
-    return reduce(DataFrame.unionByName, [key(R.bm25(spark, d), "bm25"), key(dense, "dense"), key(R.hybrid(spark, d), "hybrid"), key(final, "scored")])
+    final = K.final_order(scored(spark, d, ranked=fused), top_k=K.FUNNEL).select("pos", F.col("final_rank").alias("rank"))
+    return reduce(DataFrame.unionByName, [key(words, "bm25"), key(dense, "dense"), key(fused, "hybrid"), key(final, "scored")])
 
 
 def ablation(spark, d):
@@ -128,8 +132,15 @@ def snapshot_split(spark, d):
 
 
 def snapshot_verify(spark, d):
-    tampered = snap(spark, d).withColumn("split", F.when(F.col("id") == "7", "dev").otherwise(F.col("split"))).withColumn("score", F.when(F.col("id") == "3", 99.0).otherwise(F.col("score")))
-    return S.violations(tampered)
+    """A snapshot with a score out of range, an anchor among dev and a judged record moved from its split."""
+    held = snap(spark, d)
+    split = F.when(F.col("id") == "7", "dev").when(F.col("id") == "11", F.when(F.col("split") == "dev", "test").otherwise("dev")).otherwise(F.col("split"))
+    tampered = held.withColumn("split", split).withColumn("score", F.when(F.col("id") == "3", 99.0).otherwise(F.col("score")))
+    return S.verify(tampered, S.digest(held))
+
+
+def snapshot_digest(spark, d):
+    return S.digest(snap(spark, d))
 
 
 WEIGHTS = [0.0, 1.0, 2.0, 3.0, 5.0, 8.0]
@@ -181,7 +192,7 @@ SNAP = f"WITH {R.PAPERS}, {L}, fr AS (SELECT l.* FROM lab l WHERE CAST(paper_id
   CASE WHEN p.pos % 50 = 7 THEN 'anchor' ELSE coalesce(sp.split, 'unjudged') END AS split FROM papers p LEFT JOIN lab l USING (paper_id) LEFT JOIN sp USING (paper_id))"""
 HY = "hy AS (SELECT 'hybrid' AS method, CAST(pos AS VARCHAR) AS paper_id, rank FROM fused)"
 TRIALS = f"""WITH {R.PAPERS}, {L}, tr AS (SELECT trial, paper_id, rank FROM (SELECT t.trial, paper_id, row_number() OVER (PARTITION BY t.trial ORDER BY sha256('42:' || t.trial || ':' || paper_id)) AS rank
- FROM papers, (SELECT unnest(range(20)) AS trial) t WHERE pos < 200) WHERE rank <= 10), {JUDGED('tr', 10, 'trial')}"""
+ FROM papers, (SELECT unnest(range({TRIALS_DRAWN})) AS trial) t) WHERE rank <= 10), {JUDGED('tr', 10, 'trial')}"""
 RAW = TRIALS.replace("round(p, 6)", "p").replace("round(r, 6)", "r").replace("round(judged::DOUBLE / size, 6)", "judged::DOUBLE / size")
 SWEEP = f"""{HEAD}, {SPLIT.format(src='lab')},
 od AS (SELECT w.weight, h.* FROM (SELECT pos, paper_id, rank AS hr, score FROM head) h, (SELECT unnest([0.0::DOUBLE, 1, 2, 3, 5, 8]) AS weight) w),
@@ -203,15 +214,15 @@ RULES = {
     "split of judged": "label IS NOT NULL AND split = 'unjudged'", "split of unjudged": "label IS NULL AND split NOT IN ('anchor', 'unjudged')",
     "split value": "split NOT IN ('anchor', 'dev', 'test', 'unjudged')",
 }
-TAMPERED = f"{SNAP}, tp AS (SELECT id, title, label, is_anchor, CASE WHEN id = '3' THEN 99 ELSE score END AS score, reason, CASE WHEN id = '7' THEN 'dev' ELSE split END AS split, count(*) OVER (PARTITION BY id) AS n FROM snap)"
-QUERIES = {f.__name__: f for f in (frozen_scores, score_batches, rank_final, rank_fallback, recommended, exploration, relevant_count, ablation, judged_metrics, legacy_metric, classification_metrics, random_baseline, estimate, fmt_metrics, stratified_split, snapshot_build, snapshot_split, snapshot_verify, tune_sweep, tune_select)}
+TAMPERED = f"{SNAP}, tp AS (SELECT id, title, label, is_anchor, CASE WHEN id = '3' THEN 99 ELSE score END AS score, reason, CASE WHEN id = '7' THEN 'dev' WHEN id = '11' THEN CASE WHEN split = 'dev' THEN 'test' ELSE 'dev' END ELSE split END AS split, split AS old, count(*) OVER (PARTITION BY id) AS n FROM snap)"
+QUERIES = {f.__name__: f for f in (frozen_scores, score_batches, rank_final, rank_fallback, recommended, exploration, relevant_count, ablation, judged_metrics, legacy_metric, classification_metrics, random_baseline, estimate, fmt_metrics, stratified_split, snapshot_build, snapshot_split, snapshot_verify, snapshot_digest, tune_sweep, tune_select)}
 SQL = {
     "frozen_scores": f"{HEAD} SELECT paper_id, rank, CASE WHEN pos % 13 = 0 THEN 0 ELSE score END AS score, (SELECT bool_or(pos % 13 = 0) FROM head) AS failed FROM head",
     "score_batches": f"{HEAD} SELECT paper_id, CAST(floor((row_number() OVER (ORDER BY rank) - 1) / 8) AS BIGINT) AS batch, (row_number() OVER (ORDER BY rank) - 1) % 8 + 1 AS place FROM head",
     "rank_final": f"{FINAL} SELECT * FROM fin",
     "rank_fallback": f"{HEAD} SELECT paper_id, score, '{K.FALLBACK_REASON}' AS reason, rank FROM head WHERE rank <= 5",
     "recommended": f"{FINAL} SELECT paper_id, score FROM fin WHERE score >= 7",
-    "exploration": f"{FINAL} SELECT paper_id, score FROM fin WHERE score < 7",
+    "exploration": f"{HEAD} SELECT paper_id, score FROM head WHERE rank <= 5 AND score < 7",
     "relevant_count": f"{FINAL} SELECT count(*) FILTER (score >= 7) AS n FROM fin",
     "ablation": f"{ALL} SELECT method, precision, recall, f1, coverage, rel, judged, n_rel FROM jm",
     "judged_metrics": f"{R.HYBRID}, {L}, {HY}, {JUDGED('hy', 50)} SELECT method, precision, recall, f1, coverage, rel, judged, n_rel FROM jm",
@@ -223,7 +234,9 @@ SQL = {
     "stratified_split": f"WITH {L}, {SPLIT.format(src='lab')} SELECT paper_id, label, split FROM sp",
     "snapshot_build": f"{SNAP} SELECT * FROM snap",
     "snapshot_split": f"{SNAP} SELECT id, label, split FROM snap WHERE split NOT IN ('anchor', 'dev')",
-    "snapshot_verify": f"{TAMPERED} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({x}) AS violations FROM tp" for n, x in RULES.items()),
+    "snapshot_verify": f"{TAMPERED} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({x}) AS violations FROM tp" for n, x in RULES.items())
+    + " UNION ALL SELECT 'split made again', count(*) FROM tp WHERE NOT is_anchor AND label IS NOT NULL AND split <> old UNION ALL SELECT 'stored digest', 1",
+    "snapshot_digest": f"{SNAP} SELECT count(*) AS records, CAST(sum(CAST(('0x' || substr(sha256(CAST(to_json(x) AS VARCHAR)), 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM (SELECT {{'id': id, 'title': title, 'summary': summary, 'label': label, 'is_anchor': is_anchor, 'score': score, 'reason': reason, 'split': split}} AS x FROM snap)",
     "tune_sweep": f"{SWEEP} SELECT weight, precision, recall, f1, coverage FROM dm",
     "tune_select": f"""{SWEEP} SELECT weight, precision, recall, f1, coverage FROM tm WHERE weight = (SELECT weight FROM dm
  ORDER BY coalesce(f1, -1) DESC, coalesce(precision, -1) DESC, coalesce(recall, -1) DESC, coalesce(coverage, -1) DESC, abs(weight), weight LIMIT 1)""",

@@ -6,37 +6,8 @@ from papyrine.plans.dual import ansi, spark_query
 
 PAPERS = "papers AS (SELECT doc_id AS pos, #text(doc_id)# AS paper_id, split_part(text, '.', 1) AS title, text AS summary, lang, source AS category, n_chars FROM @documents)"
 LABELS = "labels AS (SELECT #text(doc_id)# AS paper_id, CASE WHEN quality = 1 THEN 'rel' ELSE 'irrel' END AS label FROM @labels)"
-WINDOW = "ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-12 00:00:00' AND event_type IN ('click', 'view')"
-
-# The category codes that a query's keywords call for.
-HINTS = [
-    ("cs.CL", ("language", "llm", "nlp", "text generation", "dialogue")),
-    ("cs.IR", ("retrieval", "search", "rag", "rerank", "reranking", "information retrieval")),
-    ("cs.RO", ("robot", "robotics", "embodied")),
-    ("cs.CR", ("security", "privacy", "cryptography", "cybersecurity")),
-    ("cs.DB", ("database", "databases", "data management")),
-    ("cs.MA", ("multi-agent", "multiagent")),
-]
-HINT_ROWS = ", ".join(f"('{c}', '{k}')" for c, ks in HINTS for k in ks)
-STATES = """states AS (SELECT * FROM (VALUES
-  (1, 'Language agents with retrieval and planning', 'cs.AI,cs.LG', 3, 2, 3, 0, 0, 1, 0, false, false),
-  (2, 'Artificial intelligence, vision, robotics, language, security, databases; retrieval', 'cs.AI,cs.LG,cs.CL,cs.CV,cs.RO', 3, 3, 3, 0, 0, 1, 0, false, false),
-  (3, 'Reliable agents', 'cs.AI,cs.LG', 3, 6, 3, 1, 0, 1, 0, false, false),
-  (4, 'Reliable agents', 'cs.AI,cs.LG,cs.CL,cs.IR', 0, NULL, 0, 0, 0, 1, 0, false, false),
-  (5, 'Language agent research methods', 'cs.AI,cs.LG,cs.CL', 4, 8, 4, 0, 4, 1, 0, false, false),
-  (6, 'Planning', 'cs.AI,cs.LG,cs.CL,cs.IR', 2, 2, 2, 0, 0, 3, 1, false, false),
-  (7, 'Planning', 'cs.AI,cs.LG', 2, 2, 2, 0, 0, 1, 3, false, false),
-  (8, 'Planning', 'cs.AI,cs.LG', 2, 2, 2, 0, 0, 1, 0, true, false),
-  (9, 'Planning', 'cs.AI,cs.LG', 2, 2, 2, 0, 0, 1, 0, false, true)
-  ) AS t(state_id, query, categories, candidates, max_score, scored, near, relevant, attempts, reflections, fetch_failed, score_failed))"""
-ASKED = f"""hints AS (SELECT * FROM (VALUES {HINT_ROWS}) AS h(category, keyword)),
-asked AS (SELECT DISTINCT state_id, category FROM states, hints
-  WHERE concat(' ', regexp_replace(lower(query), '[^a-z0-9-]', ' ', 1), ' ') LIKE concat('% ', keyword, ' %')
-    AND concat(',', categories, ',') NOT LIKE concat('%,', category, ',%'))"""
 
 _BOTH = {
-    "scan_window": f"SELECT event_id, ts, event_type FROM @events WHERE {WINDOW}",
-    "scan_latest": "SELECT event_id, ts, event_type FROM @events WHERE event_type IN ('click', 'view') ORDER BY ts DESC, event_id LIMIT 30",
     "window_counts": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM @events GROUP BY 1, 2",
     "fetch_window": "SELECT event_id, ts - INTERVAL '15' MINUTE AS since, least(ts, TIMESTAMP '2024-01-20 00:00:00') AS until FROM @events",
     "minute_stamp": "SELECT event_id, #stamp(ts)# AS stamp FROM @events",
@@ -47,20 +18,13 @@ _BOTH = {
     "store_append": f"""WITH {PAPERS},
 incoming AS (SELECT paper_id, pos, row_number() OVER (PARTITION BY paper_id ORDER BY pos) AS n FROM (SELECT * FROM papers WHERE pos >= 300 UNION ALL SELECT * FROM papers WHERE pos % 7 = 0) x)
 SELECT paper_id, pos, 'store' AS origin FROM papers WHERE pos < 400
-UNION ALL SELECT paper_id, pos, 'incoming' FROM incoming WHERE n = 1 AND paper_id NOT IN (SELECT paper_id FROM papers WHERE pos < 400)""",
-    "merge_new": f"""WITH {PAPERS},
-both_ AS (SELECT paper_id AS paper_key, 0 AS src, pos FROM papers WHERE pos < 300
-  UNION ALL SELECT paper_id, 1, pos FROM papers WHERE pos >= 200 AND pos % 11 <> 3),
-kept AS (SELECT *, row_number() OVER (PARTITION BY paper_key ORDER BY src, pos) AS n FROM both_)
-SELECT paper_key, CAST(src AS BIGINT) AS src, pos FROM kept WHERE n = 1""",
+UNION ALL SELECT paper_id, pos, 'incoming' FROM incoming i WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM papers p WHERE p.pos < 400 AND p.paper_id = i.paper_id)""",
     "paper_text": f"WITH {PAPERS} SELECT paper_id, concat(title, '. ', summary) AS text FROM papers",
     "tokenize": f"WITH {PAPERS} SELECT paper_id, CAST(cardinality_(#tokens(summary)#) AS BIGINT) AS n, #sha(array_to_string_(#tokens(summary)#))# AS digest FROM papers",
     "collapse_ws": "SELECT item_id, substring(#strip(text)#, 1, 200) AS text FROM @benchmark",
     "query_shape": "SELECT item_id, CAST(cardinality_(tokens_(text)) AS BIGINT) AS words, CAST(length(regexp_replace_(text)) AS BIGINT) AS clauses FROM @benchmark",
-    "fingerprint": f"WITH {PAPERS} SELECT paper_id, concat('score:v2:', #sha(concat('1|', title, '|', summary))#) AS sha256 FROM papers",
     "labels_left": f"WITH {PAPERS}, {LABELS} SELECT p.paper_id, l.label FROM papers p LEFT JOIN labels l ON p.paper_id = l.paper_id",
-    "semi_pool": f"WITH {PAPERS}, {LABELS} SELECT paper_id, label FROM labels WHERE paper_id IN (SELECT paper_id FROM papers WHERE lang = 'en')",
-    "anti_anchor": f"WITH {PAPERS} SELECT paper_id FROM papers WHERE pos % 50 <> 7",
+    "semi_pool": f"WITH {PAPERS}, {LABELS} SELECT paper_id, label FROM labels WHERE paper_id IN (SELECT paper_id FROM papers)",
     "unlabeled": f"WITH {PAPERS}, {LABELS} SELECT p.paper_id, p.pos FROM papers p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.paper_id = p.paper_id)",
     "eval_input": f"WITH {PAPERS}, {LABELS} SELECT p.paper_id, l.label FROM papers p LEFT JOIN labels l ON p.paper_id = l.paper_id WHERE p.pos % 50 <> 7 AND (l.label IS NULL OR l.label IN ('rel', 'irrel'))",
     "label_apply": f"""WITH {PAPERS}, {LABELS},
@@ -74,45 +38,21 @@ SELECT user_id, label, ts FROM log WHERE n = 1""",
 SELECT conv_id, turn, role FROM t WHERE back <= 3""",
     "dup_check": "SELECT text, count(*) AS n FROM @documents GROUP BY text HAVING count(*) > 1",
     "fk_check": f"""WITH {PAPERS}, {LABELS}
-SELECT 'label without paper' AS rule, count(*) AS violations FROM labels WHERE paper_id NOT IN (SELECT paper_id FROM papers)
-UNION ALL SELECT 'anchor without paper', count(*) FROM (SELECT #text(vec_id)# AS id FROM @embeddings WHERE vec_id % 50 = 7) a WHERE id NOT IN (SELECT paper_id FROM papers)
+SELECT 'label without paper' AS rule, count(*) AS violations FROM labels l WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.paper_id = l.paper_id)
+UNION ALL SELECT 'anchor without paper', count(*) FROM (SELECT #text(vec_id)# AS id FROM @embeddings WHERE vec_id % 50 = 7) a WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.paper_id = a.id)
 UNION ALL SELECT 'blank title', count(*) FROM papers WHERE trim(title) = ''""",
     "legacy_scores": f"""WITH {PAPERS}, cache AS (SELECT concat('v1:', #text(vec_id)#) AS cache_key, CAST(vec_id % 11 AS DOUBLE) AS score FROM @embeddings)
-SELECT substring(cache_key, 4) AS paper_id, score FROM cache WHERE substring(cache_key, 4) IN (SELECT paper_id FROM papers WHERE pos % 2 = 0)""",
-    "cache_filter": """SELECT vec_id, vec_id % 13 AS score FROM @embeddings
-WHERE concat(CASE WHEN vec_id % 5 = 0 THEN 'score:v1:' ELSE 'score:v2:' END, vec_id) LIKE 'score:v2:%' AND vec_id % 13 BETWEEN 0 AND 10""",
+SELECT substring(cache_key, 4) AS paper_id, score FROM cache WHERE substring(cache_key, 4) IN (SELECT paper_id FROM papers)""",
     "cache_merge": """WITH old AS (SELECT vec_id AS k, vec_id % 11 AS score FROM @embeddings WHERE vec_id < 300),
 new AS (SELECT vec_id AS k, vec_id % 7 AS score FROM @embeddings WHERE vec_id >= 200)
 SELECT coalesce(new.k, old.k) AS vec_id, coalesce(new.score, old.score) AS score FROM old FULL OUTER JOIN new ON old.k = new.k""",
     "cache_write_set": """WITH b AS (SELECT vec_id, CAST(floor(vec_id / 8) AS BIGINT) AS batch_id, CASE WHEN vec_id % 37 = 0 THEN 99 ELSE vec_id % 11 END AS score FROM @embeddings)
-SELECT vec_id, batch_id, score FROM b WHERE batch_id NOT IN (SELECT batch_id FROM b WHERE score NOT BETWEEN 0 AND 10)""",
-    "cache_misses": f"WITH {PAPERS} SELECT paper_id FROM papers WHERE pos % 3 = 0 AND pos NOT IN (SELECT vec_id FROM @embeddings)",
+SELECT vec_id, batch_id, score FROM b WHERE NOT EXISTS (SELECT 1 FROM b AS x WHERE x.batch_id = b.batch_id AND x.score NOT BETWEEN 0 AND 10)""",
     "snapshot_counts": f"""WITH {PAPERS}, {LABELS},
 r AS (SELECT coalesce(l.label, 'unjudged') AS label, CASE WHEN p.pos % 50 = 7 THEN 'anchor' WHEN l.label IS NULL THEN 'unjudged' WHEN p.pos % 10 < 7 THEN 'dev' ELSE 'test' END AS split
   FROM papers p LEFT JOIN labels l ON p.paper_id = l.paper_id)
 SELECT coalesce(label, '*') AS label, coalesce(split, '*') AS split, count(*) AS n FROM r GROUP BY GROUPING SETS ((), (label), (split), (split, label))""",
-    "category_hints": f"WITH {STATES}, {ASKED} SELECT CAST(state_id AS BIGINT) AS state_id, category FROM asked",
-    "reflect_context": f"""WITH {STATES}, {ASKED} SELECT CAST(s.state_id AS BIGINT) AS state_id, CAST(candidates AS BIGINT) AS candidates, CAST(max_score AS BIGINT) AS max_score, CAST(near AS BIGINT) AS near_matches,
-  CAST(relevant AS BIGINT) AS qualified, CAST((length(categories) - length(replace(categories, ',', '')) + 1) AS BIGINT) AS n_categories, count(a.category) AS missing
-FROM states s LEFT JOIN asked a ON s.state_id = a.state_id GROUP BY s.state_id, candidates, max_score, near, relevant, categories""",
-    "routing_hint": f"""WITH {STATES}, {ASKED},
-c AS (SELECT s.state_id, candidates, max_score, near, length(categories) - length(replace(categories, ',', '')) + 1 AS cats,
-  length(regexp_replace(query, '[^,;.]', '', 1)) + 1 AS clauses, length(query) - length(replace(query, ' ', '')) + 1 AS words,
-  count(a.category) AS missing FROM states s LEFT JOIN asked a ON s.state_id = a.state_id GROUP BY s.state_id, candidates, max_score, near, categories, query)
-SELECT CAST(state_id AS BIGINT) AS state_id, CASE WHEN candidates = 0 AND cats >= 4 THEN 'stop' WHEN near > 0 THEN 'refocus' WHEN missing > 0 AND cats < 4 THEN 'widen'
-  WHEN clauses >= 5 AND words >= 8 THEN 'refocus' WHEN cats >= 4 AND (max_score IS NULL OR max_score <= 3) THEN 'stop' END AS hint FROM c""",
-    "route_decide": f"""WITH {STATES} SELECT CAST(state_id AS BIGINT) AS state_id, CASE WHEN fetch_failed OR score_failed THEN 'report'
-  WHEN relevant < 3 AND attempts < 3 AND reflections < 3 THEN 'reflect' ELSE 'report' END AS route FROM states""",
     "route_action": "SELECT action, CASE action WHEN 'widen' THEN 'fetch' WHEN 'refocus' THEN 'rank' ELSE 'report' END AS route FROM (VALUES ('widen'), ('refocus'), ('stop'), ('delete')) AS t(action)",
-    "static_baselines": """WITH s AS (SELECT * FROM (VALUES ('policy', 'widen'), ('policy', 'refocus'), ('policy', 'stop'), ('policy', 'stop'), ('policy', 'widen'), ('policy', 'refocus'), ('policy', 'stop'), ('policy', 'widen'),
-  ('contract', 'stop'), ('contract', 'stop'), ('contract', 'stop'), ('contract', 'stop')) AS t(kind, expected)), a AS (SELECT * FROM (VALUES ('widen'), ('stop'), ('refocus')) AS t(action))
-SELECT concat('always-', action) AS metric, count(CASE WHEN expected = action THEN 1 END) AS passed, count(*) AS total,
-  CAST(count(CASE WHEN expected = action THEN 1 END) AS DOUBLE) / count(*) AS rate FROM s, a WHERE kind = 'policy' GROUP BY action""",
-    "scenario_metrics": """WITH s AS (SELECT * FROM (VALUES (1, 'policy', true, true, 1), (2, 'policy', true, false, 1), (3, 'policy', true, true, 1), (4, 'contract', false, true, 0), (5, 'contract', true, true, 0)) AS t(id, kind, schema_ok, pass, calls))
-SELECT coalesce(kind, 'all') AS kind, count(CASE WHEN pass THEN 1 END) AS passed, count(*) AS total, CAST(count(CASE WHEN pass THEN 1 END) AS DOUBLE) / count(*) AS rate,
-  count(CASE WHEN schema_ok THEN 1 END) AS schema_valid, CAST(sum(calls) AS DOUBLE) / count(*) AS calls FROM s GROUP BY GROUPING SETS ((), (kind))""",
-    "snapshot_check": """WITH a AS (SELECT doc_id, text FROM @documents), b AS (SELECT doc_id, CASE WHEN doc_id = 5 THEN 'changed' ELSE text END AS text FROM @documents)
-SELECT 'missing' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) x UNION ALL SELECT 'added', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) y""",
 }
 
 _FOR_SPARK = {"cardinality_(": "size(", "array_to_string_(": "array_join(", "tokens_(text)": "regexp_extract_all(text, '[A-Za-z0-9]+', 0)"}
@@ -136,6 +76,4 @@ def _ansi(sql: str) -> str:
 
 
 QUERIES = {name: spark_query(_spark(sql)) for name, sql in _BOTH.items()}
-# Every paper is probed; the registered SQL still probes a third of them (see README).
-QUERIES["cache_misses"] = spark_query(_spark(f"WITH {PAPERS} SELECT paper_id FROM papers WHERE pos NOT IN (SELECT vec_id FROM @embeddings)"))
 SQL = {name: ansi(_ansi(sql)) for name, sql in _BOTH.items()}

@@ -52,10 +52,10 @@ def bm25_bg(spark, d):
     return ranked.select(F.col("pos").cast("string").alias("paper_id"), F.round("score", 6).alias("score"), "rank")
 
 
-def hybrid(spark, d) -> DataFrame:
-    """pos, rrf, rank: dense first, then BM25; only vectors of papers take part."""
+def hybrid(spark, d, words: DataFrame | None = None) -> DataFrame:
+    """pos, rrf, rank: dense first, then BM25 (words, if ranked already); only vectors of papers take part."""
     vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "pos").join(papers(spark, d).select("pos"), "pos", "left_semi")
-    return R.fuse([R.dense_rank(vectors, query_vector(spark, d), "pos"), bm25(spark, d)])
+    return R.fuse([R.dense_rank(vectors, query_vector(spark, d), "pos"), bm25(spark, d) if words is None else words])
 
 
 def hybrid_rank(spark, d):

@@ -42,11 +42,15 @@ def write_text(path: Path, text: str) -> None:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     fd, temp = tempfile.mkstemp(dir=path.parent)
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(temp, path)
+    try:
+        with os.fdopen(fd, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(temp, path)
+    except BaseException:
+        os.unlink(temp)
+        raise
 
 
 def write_json(path: Path, value) -> None:
@@ -106,3 +110,47 @@ def merge_cache(path: Path, meta: dict, entries: dict) -> None:
 def file_sha256(path: Path) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+#: A profile's fields with what they are where there is none, or none that is sound.
+PROFILE = {"interest": "agents that plan", "liked": [], "disliked": [], "feedback": []}
+
+
+def profile(value) -> dict:
+    """A stored profile with every field of its kind; unknown fields are kept."""
+    held = {**PROFILE, **(value if isinstance(value, dict) else {})}
+    lists = {k: list(held[k]) if isinstance(held[k], list) else [] for k, v in PROFILE.items() if isinstance(v, list)}
+    interest = held["interest"]
+    return {**held, **lists, "interest": interest if isinstance(interest, str) and interest.strip() else PROFILE["interest"]}
+
+
+def record_feedback(path: Path, shown: list[str], row: int, label: str, at: datetime) -> dict:
+    """Adds a vote on a row (from 1) of the last list shown; the newest vote on an id counts."""
+    if label not in ("up", "down"):
+        raise ValueError(f"unknown label {label}")
+    if not 1 <= row <= len(shown):
+        raise IndexError(f"row {row} of {len(shown)}")
+    vote = {"id": shown[row - 1], "label": label, "at": at.astimezone(UTC).isoformat()}
+
+    def change(held) -> dict:
+        found = profile(held)
+        rest = {k: [i for i in found[k] if i != vote["id"]] for k in ("liked", "disliked")}
+        rest["liked" if label == "up" else "disliked"].append(vote["id"])
+        return {**found, **rest, "feedback": [*found["feedback"], vote]}
+
+    return update_json(path, {}, change)
+
+
+def save_labels(path: Path, known: set[str], labels: dict[str, str]) -> dict:
+    """Merges judgments (rel or irrel) of known ids into a file."""
+    if bad := [i for i, v in labels.items() if i not in known or v not in ("rel", "irrel")]:
+        raise ValueError(f"no such id or label: {sorted(bad)}")
+    return update_json(path, {}, lambda held: {**held, **labels})
+
+
+def weights(text: str) -> list[float]:
+    """Numbers between commas; blanks are left out, none is an error."""
+    found = [float(x) for x in text.split(",") if x.strip()]
+    if not found:
+        raise ValueError("no weights")
+    return found
