@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Gives id and component, the least id reachable, for every id in an edge.
 
     Each round hooks every node to its least neighbour, jumps pointers and contracts the edges, so the
-    rounds are about the logarithm of a component's width. Nothing is collected.
+    rounds are about the logarithm of a component's width. Nothing is collected. Loops, repeated edges and either
+    direction are allowed, an edge with a null end is left out, no edges give no rows; other columns are not read.
     """
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")))

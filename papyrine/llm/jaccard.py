@@ -25,9 +25,11 @@ verified on the whole sets of both texts; a pair already in one component needs
 are one representative, the least doc_id.
 
 Only counts reach the driver. Nulls: a null text is empty. Documents without words have no shingles and
-link with nothing; those of fewer words than `width` have their whole sequence as one shingle. A null
-doc_id links like any text but is never a component's id, and alone has a null one. Repeated rows are
-exact copies. An empty table gives no rows. Other columns are not read.
+link with nothing; those of fewer words than `width` have their whole sequence as one shingle. A row with a
+null doc_id has the component of the rows with its set of shingles, and a null one if none of them has an
+id; it makes no links of its own. Of an id with several texts one text links. Repeated rows are exact copies.
+An empty table gives no rows. Very long texts are read whole. Other columns are not read. A `percent`
+below PERCENT, for which the windows are laid out, is refused.
 """
 
 from __future__ import annotations
@@ -50,7 +52,9 @@ WINDOW, SHARED, LEAST = 40, 10, 4
 CROWDED = 48
 DEEP, DEEP_SHARED, LEAST_DEEP = 128, 58, 6
 PIVOTS = 3
-CACHE_WORDS = 500_000
+#: Members of a region that one task measures against a pivot.
+DEALT = 256
+CACHE_WORDS = 150_000
 
 
 class _WordHashes(dict):
@@ -123,25 +127,36 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, set array<long>")
 
 
+def _measured(batches):
+    for batch in batches:
+        x, y = batch.column("x"), batch.column("y")
+        xo, xv, yo, yv = x.offsets.to_numpy(), x.values.to_numpy(), y.offsets.to_numpy(), y.values.to_numpy()
+        shared, joint = [], []
+        for i in range(batch.num_rows):
+            p, q = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
+            at = np.searchsorted(q, p)
+            at[at == len(q)] = 0
+            k = int((q[at] == p).sum()) if len(q) else 0
+            shared.append(k)
+            joint.append(len(p) + len(q) - k)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())], ["a", "b", "shared", "joint"])
+
+
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs: a, b. Gives a, b, shared and joint (sizes of intersection and union)."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, shared long, joint long")
 
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            xo, xv, yo, yv = x.offsets.to_numpy(), x.values.to_numpy(), y.offsets.to_numpy(), y.values.to_numpy()
-            shared, joint = [], []
-            for i in range(batch.num_rows):
-                p, q = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                k = int((q[at] == p).sum()) if len(q) else 0
-                shared.append(k)
-                joint.append(len(p) + len(q) - k)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())], ["a", "b", "shared", "joint"])
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, joint long")
+def _to_pivots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members: id, pivot, size (of the region). Gives id, pivot, d and linked; a region's members are dealt out, each part with a copy of the pivot's set."""
+    dealt = members.groupBy("id", "pivot").agg(F.max("size").alias("size"))
+    dealt = cut(dealt.select("id", "pivot", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / DEALT)).alias("part")))
+    own = dealt.join(sets.select("id", F.col("set").alias("x")), "id")
+    theirs = dealt.select("pivot", "part").distinct().join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("y")), "pivot")
+    both = own.join(theirs, ["pivot", "part"]).select(F.col("id").alias("a"), F.col("pivot").alias("b"), "x", "y")
+    found = both.mapInArrow(_measured, "a long, b long, shared long, joint long")
+    return found.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("joint")).alias("d"), (100 * F.col("shared") >= percent * F.col("joint")).alias("linked"))
 
 
 def _sized(percent: int):
@@ -198,14 +213,12 @@ def _pivot_rounds(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     cells = _merged(cells, sets, percent)
     for k in range(PIVOTS):
         free = F.col("id") if not k else F.when(~reduce(lambda p, q: p | q, [F.col(f"d{i}") <= far for i in range(k)]), F.col("id"))
-        pick = cells.groupBy("key").agg(F.max_by(free, F.when(free.isNotNull(), inmost)).alias("pivot"))
+        pick = cells.groupBy("key").agg(F.max_by(free, F.when(free.isNotNull(), inmost)).alias("pivot"), F.count("*").alias("size"))
         cells = cells.join(pick, "key")
-        pairs = cells.where("pivot IS NOT NULL AND id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        found = cut(measure(pairs, sets).select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("d"), (100 * F.col("shared") >= percent * F.col("joint")).alias("linked")))
-        links.append(found.where("linked").select("a", "b"))
-        meets = (F.least("id", "pivot") == found.a) & (F.greatest("id", "pivot") == found.b)
+        found = cut(_to_pivots(cells.where("pivot IS NOT NULL AND id != pivot").select("id", "pivot", "size"), sets, percent))
+        links.append(found.where("linked").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
         d = F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
-        cells = cells.join(found, meets, "left").select("key", "id", "n", "held", *[f"d{i}" for i in range(k)], F.when(F.col("pivot").isNotNull(), d).otherwise(0.0).alias(f"d{k}"))
+        cells = cells.join(found.drop("linked"), ["id", "pivot"], "left").select("key", "id", "n", "held", *[f"d{i}" for i in range(k)], F.when(F.col("pivot").isNotNull(), d).otherwise(0.0).alias(f"d{k}"))
         cells = cut(cells)
     return reduce(DataFrame.unionByName, links), cells
 
@@ -253,6 +266,8 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs: doc_id, text. Gives doc_id, n_shingles and component_id for each row."""
+    if percent < PERCENT:
+        raise ValueError(f"percent must be {PERCENT} or more")
     rows = cut(sketches(docs, width))
     reps = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("window").alias("window")))
     cells = reps.select(F.explode("window").alias("key"), "id", "n")

@@ -67,11 +67,12 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
 
 
 def with_starts(rows: DataFrame) -> DataFrame:
-    """rows: file, row, n_tokens. Adds start; files' names follow their order."""
+    """rows: file, row, n_tokens. Adds start; files follow by the number that Spark's committer gives them."""
     inside = Window.partitionBy("file").orderBy("row")
     rows = rows.withColumn("inside", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("sum"))
-    files = files.select("file", (F.sum("sum").over(Window.orderBy("file")) - F.col("sum")).alias("before"))
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("sum"))  # a row a file
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    files = files.select("file", (F.sum("sum").over(Window.orderBy(number, "file")) - F.col("sum")).alias("before"))
     return rows.join(files, "file").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
@@ -86,3 +87,14 @@ def digests(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), batch.column("file"), batch.column("row")], ["doc_id", "n_tokens", "ids_crc32", "file", "row"])
 
     return tokens.select("doc_id", "ids", "file", "row").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, file string, row long")
+
+
+def metadata(spark: SparkSession, at: str) -> DataFrame:
+    """doc_id, n_tokens and start of every document; no page of ids is read."""
+    rows = spark.read.parquet(at).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return with_starts(rows).select("doc_id", "n_tokens", "start")
+
+
+def token_range(spark: SparkSession, at: str, first: int, last: int) -> DataFrame:
+    """doc_id and ids of documents first to last; their doc_ids are pushed down to row groups and pages."""
+    return spark.read.parquet(at).where(F.col("doc_id").between(first, last)).select("doc_id", "ids")

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_BYTES, FILE_BYTES, CHUNK = 1000, 64 << 20, 1 << 18
+LEAST_BYTES, FILE_BYTES, CHUNK, MOST_CHUNK, MOST_TASKS = 1000, 64 << 20, 1 << 18, 4 << 20, 10_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -70,8 +70,8 @@ def record(page_id: int | None, url: str, html: str | None, n: int, digest: str,
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, to: str) -> list[str]:
-    """Writes monolithic archives and names them (a few a task)."""
+def write_archives(records: DataFrame, to: str) -> DataFrame:
+    """Writes monolithic archives and gives their names (a few a task), which Spark's committer writes to to/names."""
 
     def run(batches):
         system, folder = fs.FileSystem.from_uri(to)
@@ -95,16 +95,17 @@ def write_archives(records: DataFrame, to: str) -> list[str]:
             out.close()
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    return sorted(r.name for r in records.mapInArrow(run, "name string").collect())
+    records.mapInArrow(run, "name string").write.parquet(f"{to}/names")
+    return records.sparkSession.read.schema("name string").parquet(f"{to}/names")
 
 
 def _inflated(stream) -> Iterator[bytes]:
-    """Chunks of a gzip stream, of one member or many."""
+    """Chunks of a gzip stream, of one member or many; however well it is packed, none is over MOST_CHUNK."""
     inflate = zlib.decompressobj(31)
     while chunk := stream.read(CHUNK):
         while chunk:
-            yield inflate.decompress(chunk)
-            chunk = inflate.unused_data
+            yield inflate.decompress(chunk, MOST_CHUNK)
+            chunk = inflate.unconsumed_tail or inflate.unused_data
             if inflate.eof:
                 inflate = zlib.decompressobj(31)
     yield inflate.flush()
@@ -133,8 +134,8 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("an archive ends within a record")
 
 
-def normalise(spark: SparkSession, names: list[str], source: str, to: str) -> DataFrame:
-    """Rewrites monolithic archives; the sidecar index is written beside them, as to/index."""
+def normalise(names: DataFrame, source: str, to: str) -> DataFrame:
+    """Rewrites monolithic archives, named by rows; the sidecar index is written beside them, as to/index."""
 
     def run(frames):
         (system, folder), (target, out_folder) = fs.FileSystem.from_uri(source), fs.FileSystem.from_uri(to)
@@ -151,9 +152,9 @@ def normalise(spark: SparkSession, names: list[str], source: str, to: str) -> Da
                         offset += len(member)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["file", "offset", "length"])
 
-    files = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)))
-    files.mapInArrow(run, "file string, offset long, length long").write.parquet(f"{to}/index")
-    return spark.read.parquet(f"{to}/index")
+    dealt = names.repartition(max(1, min(names.count(), MOST_TASKS)))  # an archive a task, as long as there are so many tasks
+    dealt.mapInArrow(run, "file string, offset long, length long").write.parquet(f"{to}/index")
+    return names.sparkSession.read.schema("file string, offset long, length long").parquet(f"{to}/index")
 
 
 def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -191,10 +192,8 @@ def read_archives(index: DataFrame, at: str) -> DataFrame:
 
 def archive(pages: DataFrame, to: str, least: int = LEAST_BYTES) -> DataFrame:
     """Writes pages as normalised archives under `to` and gives their index."""
-    spark = pages.sparkSession
     names = write_archives(plan_records(pages, least), f"{to}/whole")
-    index = normalise(spark, names, f"{to}/whole", f"{to}/records")
+    index = normalise(names, f"{to}/whole", f"{to}/records")
     system, folder = fs.FileSystem.from_uri(f"{to}/whole")
-    if names:
-        system.delete_dir(folder)
+    system.delete_dir(folder)
     return index
