@@ -43,6 +43,7 @@ import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from papyrine.llm.common import cut, drop_shuffles
 from papyrine.llm.components import components
@@ -52,8 +53,8 @@ WINDOW, SHARED, LEAST = 40, 10, 4
 CROWDED = 48
 DEEP, DEEP_SHARED, LEAST_DEEP = 128, 58, 6
 PIVOTS = 3
-#: Members of a region that one task measures against a pivot.
-DEALT = 256
+#: Members of a region that are dealt to one group, to be measured against a pivot or to order their shingles; and shingles of a region that are told apart by count.
+DEALT, COUNTED = 256, 16_384
 CACHE_WORDS = 150_000
 
 
@@ -224,17 +225,44 @@ def _pivot_rounds(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
 
 
 def _rarest(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """key, id, and the shingles, with their place, that a linked document's rarest common one must be among.
+    """cells with the shingles, and their places, that a linked document's rarest common one must be among.
 
-    A region's shingles are ordered by the number of its members that hold them, then by hash. Of n shingles a
-    linked document holds percent % or more, so their first common one is not behind the rest of the n plus one.
+    A region's shingles are ordered by how many of its members hold them, then by hash. Of n shingles a linked
+    document holds percent % or more, so in any one order their first common one is not behind the rest of the n
+    plus one. As any order is exact, members are counted on a part of the region (about DEALT of them, by hash), and
+    only its COUNTED most frequent shingles are told apart; all members are dealt out in such parts, each with a copy of
+    those counts, so no task holds a region.
     """
-    held = cells.select("key", "id", "n").join(sets, "id").select("key", "id", "n", F.explode("set").alias("shingle"))
-    often = held.groupBy("key", "shingle").agg(F.count("*").alias("often")).where("often > 1")
-    own = Window.partitionBy("key", "id")
-    held = held.join(often, ["key", "shingle"]).withColumn("at", F.row_number().over(own.orderBy("often", "shingle")))
-    held = held.withColumn("place", F.col("n") - F.count("*").over(own) + F.col("at"))  # those it alone holds come first
-    return held.where(100 * (F.col("place") - 1) <= (100 - percent) * F.col("n")).select("key", "id", "shingle", "place")
+    sizes = cells.groupBy("key").agg(F.ceil(F.count("*") / DEALT).alias("parts"))
+    cells = cut(cells.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    some = cells.where("part = 0").select("key", "id").join(sets, "id").select("key", F.explode("set").alias("shingle"))
+    often = some.groupBy("key", "shingle").agg(F.count("*").alias("often")).where("often > 1")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("often"), "shingle"))
+    often = often.withColumn("at", first).where(F.col("at") <= COUNTED).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shingle", "often"))).alias("held"))
+    often = often.select("key", F.col("held.shingle").alias("shingles"), F.col("held.often").alias("often"))
+    counts = cells.select("key", "part").distinct().join(often, "key", "left").select(F.col("key").alias("of_key"), F.col("part").alias("of_part"), "shingles", "often")
+    names = [c for c in cells.columns if c not in ("parts", "part")]
+    members = cells.join(sets, "id").select("key", "part", *[c for c in names if c != "key"], "set")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, often = (np.asarray(right[c][0].values if right.num_rows and right[c][0].is_valid else [], np.int64) for c in ("shingles", "often"))
+        left = left.combine_chunks()
+        rows, kept, places = [], [], []
+        for i, (n, held) in enumerate(zip(left["n"].to_pylist(), left["set"], strict=True)):
+            held = held.values.to_numpy()
+            count = np.zeros(len(held), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, held), len(known) - 1)
+                count = np.where(known[at] == held, often[at], 0)
+            k = n * (100 - percent) // 100 + 1
+            kept.append(held[np.lexsort((held, count))[:k]])
+            rows += [i] * len(kept[-1])
+            places.append(np.arange(1, len(kept[-1]) + 1))
+        out = left.select(names).take(pa.array(rows, pa.int64()))
+        return out.append_column("shingle", pa.array(np.concatenate(kept))).append_column("place", pa.array(np.concatenate(places)))
+
+    schema = StructType([f for f in cells.schema if f.name in names]).add("shingle", "long").add("place", "long")
+    return members.groupBy("key", "part").cogroup(counts.groupBy("of_key", "of_part")).applyInArrow(run, schema)
 
 
 def _strays(cells: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +273,7 @@ def _strays(cells: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -
     cells = cut(cells.join(main.where("mixed").drop("mixed"), "key"))
     if cells.isEmpty():
         return cells.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    cells = cut(cells.join(_rarest(cells, sets, percent), ["key", "id"]))
+    cells = cut(_rarest(cells, sets, percent))
     drop_shuffles(cells.sparkSession)
     other = cells.select("key", "shingle", F.col("place").alias("place2"), F.col("id").alias("id2"), F.col("n").alias("m"), F.col("component").alias("component2"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(PIVOTS)])
     close = reduce(lambda p, q: p & q, [F.abs(F.col(f"d{i}") - F.col(f"e{i}")) <= far for i in range(PIVOTS)])
