@@ -47,20 +47,23 @@ def pieces(docs: DataFrame, size: int = SIZE, end: int = 0, path: str | None = N
     """docs: doc_id, text. Gives doc_id, piece, start, length and ids_crc32 of each piece."""
 
     def run(batches):
-        tail = end.to_bytes(4, "little")
-        with word_ids(path) as words:
-            for batch in batches:
-                yield cut_up(batch, words, tail)
-
-    def cut_up(batch: pa.RecordBatch, words, tail: bytes) -> pa.RecordBatch:
-        out = ([], [], [], [], [])
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = words.encode(text.as_py() or "") + tail
-            for k, at in enumerate(range(0, len(ids), 4 * size)):
-                part = ids[at : at + 4 * size]
-                for column, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                    column.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words = word_ids(path)
+        for batch in batches:
+            at = 0
+            for n, values, offsets in words.parts(batch.column(1), end):
+                yield cut_up(batch.column(0).slice(at, n), values, offsets)
+                at += n
+
+    def cut_up(docs: pa.Array, values: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        times = -(-np.diff(offsets) // size)
+        piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        first, last = (np.repeat(x, times) for x in (offsets[:-1], offsets[1:]))
+        start = piece * size
+        length = np.minimum(size, last - first - start)
+        crc = [zlib.crc32(values[a : a + n]) for a, n in zip((first + start).tolist(), length.tolist(), strict=True)]
+        doc = docs.take(pa.array(np.repeat(np.arange(len(docs)), times)))
+        columns = [doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -33,16 +33,13 @@ def encode_documents(docs: DataFrame, end: int = 2, path: str | None = None) ->
     ordered = docs.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches):
-        tail = end.to_bytes(4, "little")
-        with word_ids(path) as words:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    held = [words.encode(t.as_py()) + tail for t in part.column(1)]
-                    offsets = np.cumsum([0, *(len(b) // 4 for b in held)]).astype(np.int32)
-                    values = pa.array(np.frombuffer(b"".join(held), "<i4"))
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), values)
-                    yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+        words = word_ids(path)
+        for batch in batches:
+            at = 0
+            for n, values, offsets in words.parts(batch.column(1), end):
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), ids], ["doc_id", "ids"])
+                at += n
 
     return ordered.mapInArrow(run, "doc_id long, ids array<int>")
 

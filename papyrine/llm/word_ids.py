@@ -1,28 +1,33 @@
 """Ids of a Hugging Face tokenizer file, word by word.
 
-The tokenizer drops white space and never merges over it, so a text's ids are its words' ids in turn.
-Each distinct word is encoded once a cache generation; the cache is cleared at a fixed size. Words of
-plain letters, digits and signs go straight to the library's BPE model, cut by the file's own pattern;
-all others (controls, marks, letters beyond U+012F, special tokens) go through the library's encode.
+The tokenizer drops white space and never merges over it, so a text's ids are its words' ids in turn. Arrow
+texts are taken in parts of about PART_BYTES: Arrow splits them and finds a part's distinct words, only those
+are encoded, and numpy puts their ids in place. Words of plain letters, digits and signs go straight to
+the library's BPE model, cut by the file's own pattern; all others (controls, marks, letters beyond U+012F,
+special tokens) go through the library's encode. Nothing but the tokenizer outlives a part.
 
-A null text is for the caller to read as empty; an empty one has no ids. Very long texts are encoded whole.
+A null text is empty; an empty one has no ids. Very long texts are encoded whole, one a part if need be.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from array import array
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Words held at once; about 200 bytes each.
-CACHE_WORDS = 200_000
+#: Bytes of text that are split at once (one text more at most).
+PART_BYTES = 6 << 20
 LAST_PLAIN = "\u012f"
 PLAIN = regex.compile(r"[!-~\xa1-\xac\xae-į]+")
+#: What str.split or the file's pattern may cut at, besides ASCII white space; for Python and for Arrow.
+_ODD = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_BYTES = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def default_path() -> str:
@@ -38,14 +43,11 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes."""
-
+class WordIds:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
@@ -53,53 +55,65 @@ class WordIds(dict):
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.marks = {m: self._part(m) for m in ".,"}
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str) -> list[int]:
         shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return [t.id for t in self.model.tokenize(shown)]
 
-    def __missing__(self, word: str) -> bytes:
+    def word(self, word: str) -> list[int]:
         if word.isalpha() and max(word) <= LAST_PLAIN:
-            ids = self._part(word.lower())
-        elif word[-1] in ".," and word[:-1].isalpha() and max(word) <= LAST_PLAIN:
-            ids = self[word[:-1]] + self._part(word[-1])
-        elif PLAIN.fullmatch(word) and "<|" not in word:
-            ids = b"".join([self._part(p) for p in self.pattern.findall(word.lower())])
+            return self._part(word.lower())
+        if word[-1:] in self.marks and word[:-1].isalpha() and max(word) <= LAST_PLAIN:
+            return self._part(word[:-1].lower()) + self.marks[word[-1]]
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            return [i for p in self.pattern.findall(word.lower()) for i in self._part(p)]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has."""
+        ids, sizes, tokenize = [], [], self.model.tokenize
+        for w in words:
+            found = [t.id for t in tokenize(w.lower())] if w.isascii() and w.isalpha() else self.word(w) if w else []
+            ids += found
+            sizes.append(len(found))
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def parts(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of texts in turn: how many, their ids (uint32) with the end id behind each text, and where each text's begin (one more than there are texts)."""
+        texts = texts.fill_null("")
+        part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // PART_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                values, sizes = self._part_of(texts.slice(a, b - a))
+                offsets = np.cumsum(sizes)
+                yield b - a, np.insert(values, offsets, np.uint32(end)), np.concatenate([[0], offsets + np.arange(1, b - a + 1)])
+
+    def _part_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row, and how many each text has."""
+        odd = pc.match_substring_regex(texts, _ODD_BYTES)
+        if pc.any(odd).as_py():  # those texts are cut otherwise
+            lists = pa.array([_cut(t) if o else t.split() for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.string()))
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """All ids of a text, as bytes."""
-        return b"".join([self[w] for w in _words(text)])
-
-
-def _words(text: str) -> list[str]:
+            lists = pc.ascii_split_whitespace(texts)
+        begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = lists.flatten().dictionary_encode()
+        at = words.indices.to_numpy(zero_copy_only=False)
+        values, size = self._words(words.dictionary.to_pylist())
+        own = size[at]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        place = np.repeat(((np.cumsum(size) - size)[at] - ends[:-1]).astype(np.int32), own)
+        place += np.arange(ends[-1], dtype=np.int32)
+        return values[place], np.diff(ends[begins])
+
+
+def _cut(text: str) -> list[str]:
     """Cut at white space; str.split also cuts at U+001C..U+001F, U+0085 and U+00A0, where the file's pattern may not."""
-    words = text.split()
-    if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return regex.split(r"[ \t\n\r]+", text.strip(" \t\n\r")) if _odd(text) else words
-    return words
-
-
-_ODD = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-
-
-def _odd(text: str) -> bool:
-    return _ODD.search(text) is not None
-
-
-_loaded = lru_cache(maxsize=1)(WordIds)
+    return regex.split(r"[ \t\n\r]+", text.strip(" \t\n\r")) if _ODD.search(text) else text.split()
 
 
-@contextmanager
-def word_ids(path: str | None = None) -> Iterator[WordIds]:
-    """One a Python worker, for the length of a task: the words are let go at its end, the tokenizer is kept."""
-    ids = _loaded(path or default_path())
-    try:
-        yield ids
-    finally:
-        ids.clear()
+@lru_cache(maxsize=1)
+def word_ids(path: str | None = None) -> WordIds:
+    """One a Python worker."""
+    return WordIds(path or default_path())
