@@ -2,9 +2,9 @@
 
 The tokenizer drops white space and never merges over it, so a text's ids are its words' ids in turn. Arrow
 texts are taken in parts of about PART_BYTES: Arrow splits them and finds a part's distinct words, only those
-are encoded, and numpy puts their ids in place. Words of plain letters, digits and signs go straight to
-the library's BPE model, cut by the file's own pattern; all others (controls, marks, letters beyond U+012F,
-special tokens) go through the library's encode. Nothing but the tokenizer outlives a part.
+are encoded, and numpy puts their ids in place. Words of plain letters, digits and signs are lower-cased and cut
+by the file's own pattern all at once, and each distinct piece goes to the library's BPE model; all others
+(controls, marks, letters beyond U+012F, special tokens) go through the library's encode. Nothing but the tokenizer outlives a part.
 
 A null text is empty; an empty one has no ids. Very long texts are encoded whole, one a part if need be.
 """
@@ -23,8 +23,8 @@ import regex
 
 #: Bytes of text that are split at once (one text more at most).
 PART_BYTES = 6 << 20
-LAST_PLAIN = "\u012f"
-PLAIN = regex.compile(r"[!-~\xa1-\xac\xae-į]+")
+#: Words of these characters are cut and lower-cased alike whether alone or among others; for Arrow.
+_PLAIN = "^[!-~\xa1-\xac\xae-\u012f]+$"
 #: What str.split or the file's pattern may cut at, besides ASCII white space; for Python and for Arrow.
 _ODD = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 _ODD_BYTES = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -36,11 +36,25 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else the next free one from U+0100."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     free = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+    return {b: chr(b) if b in shown else chr(next(free)) for b in range(256)}
+
+
+def _spread(values: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values holds runs of the given sizes; the runs numbered at, one behind another, and the sizes of these."""
+    own = size[at]
+    ends = np.cumsum(own)
+    place = np.repeat(((np.cumsum(size) - size)[at] - ends + own).astype(np.int32), own)
+    place += np.arange(len(place), dtype=np.int32)
+    return values[place], own
+
+
+def _joined(words: pa.Array) -> str:
+    """Line by line."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
 
 
 class WordIds:
@@ -52,32 +66,41 @@ class WordIds:
         with open(path) as f:
             spec = json.load(f)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile(split["pattern"]["Regex"] + r"|\n")
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.marks = {m: self._part(m) for m in ".,"}
-
-    def _part(self, part: str) -> list[int]:
-        shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        return [t.id for t in self.model.tokenize(shown)]
-
-    def word(self, word: str) -> list[int]:
-        if word.isalpha() and max(word) <= LAST_PLAIN:
-            return self._part(word.lower())
-        if word[-1:] in self.marks and word[:-1].isalpha() and max(word) <= LAST_PLAIN:
-            return self._part(word[:-1].lower()) + self.marks[word[-1]]
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            return [i for p in self.pattern.findall(word.lower()) for i in self._part(p)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' ids in a row, and how many each has."""
+        if hasattr(self.model, "_resize_cache"):  # each piece is asked for once, so a cache only costs
+            self.model._resize_cache(0)
+        self.letters = _byte_letters() | {ord("\n"): "\n"}
+
+    def _pieces(self, pieces: pa.Array) -> tuple[list[int], list[int]]:
+        """Ids in a row of lower-case pieces that the pattern leaves whole, and how many each has."""
+        shown = _joined(pieces)
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(self.letters)
         ids, sizes, tokenize = [], [], self.model.tokenize
-        for w in words:
-            found = [t.id for t in tokenize(w.lower())] if w.isascii() and w.isalpha() else self.word(w) if w else []
+        for piece in shown.split("\n") if len(pieces) else []:
+            found = tokenize(piece)
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return ids, sizes
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has. Plain words are cut into pieces together, and each piece is encoded once."""
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, "<|"))
+        text = _joined(pc.if_else(plain, words, ""))
+        pieces = pa.array(self.pattern.findall("\n" + text.lower()), pa.string()).dictionary_encode()
+        at = pieces.indices.to_numpy().copy()  # 0 is the line feed before each word
+        ids, sizes = self._pieces(pieces.dictionary[1:])
+        sizes = [0, *sizes]
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        first = np.flatnonzero(at == 0)
+        at[first[other]] = len(sizes) + np.arange(len(other))  # what the line feed before such a word stands for
+        for word in words.take(pa.array(other)).to_pylist():
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
             ids += found
             sizes.append(len(found))
-        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+        values, own = _spread(np.array(ids, np.uint32), np.array(sizes, np.int64), at)
+        return values, np.add.reduceat(own, first)
 
     def parts(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of texts in turn: how many, their ids (uint32) with the end id behind each text, and where each text's begin (one more than there are texts)."""
@@ -99,13 +122,9 @@ class WordIds:
             lists = pc.ascii_split_whitespace(texts)
         begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
-        at = words.indices.to_numpy(zero_copy_only=False)
-        values, size = self._words(words.dictionary.to_pylist())
-        own = size[at]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        place = np.repeat(((np.cumsum(size) - size)[at] - ends[:-1]).astype(np.int32), own)
-        place += np.arange(ends[-1], dtype=np.int32)
-        return values[place], np.diff(ends[begins])
+        values, size = self._words(words.dictionary)
+        values, own = _spread(values, size, words.indices.to_numpy())
+        return values, np.diff(np.concatenate([[0], np.cumsum(own)])[begins])
 
 
 def _cut(text: str) -> list[str]:
