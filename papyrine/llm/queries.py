@@ -19,6 +19,8 @@ MODULES = (
     "toxicity",
     "warc",
     "neighbours",
+    "sessions",
+    "whitening",
 )
 
 
