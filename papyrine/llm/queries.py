@@ -20,6 +20,7 @@ MODULES = (
     "warc",
     "neighbours",
     "sessions",
+    "suffix_tree",
     "whitening",
 )
 
