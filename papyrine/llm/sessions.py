@@ -15,8 +15,8 @@ number is bounded by time, not by clicks. Clicks of one island's next session li
 slots. A slot's clicks are summed up before they are shuffled to their session; a session's sorted ids meet once
 more, as the hash of the whole path needs.
 
-Clicks without id, client or time are left out. Repeated rows count once; of several rows of one id the least of
-(time, client, arrival, kind, value) counts. A click without arrival is timely; a null or NaN value is not final, and
+Clicks without id, client or time are left out. Repeated rows count once; of several rows of one id that of
+the least hash of client, time, arrival and value counts. A click without arrival is timely; a null or NaN value is not final, and
 null and non-finite values, and those beyond 64 bits as cents, count 0. A late click counts in its client's last session that starts at or
 before it; before the first, or in a client without timely clicks, in none. An empty table gives no rows. Other columns
 are not read.
@@ -62,19 +62,18 @@ def taken(clicks: DataFrame, rule: Rule) -> DataFrame:
     fits = ~F.isnan(value) & (F.abs(value) < 9.2e16)
     held = clicks.where("click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL").select(
         F.col("click_id").cast("long").alias("click_id"),
-        F.struct(
-            micros(clicks, "ts").alias("at"),
-            F.col("client_id").cast("long").alias("client_id"),
-            micros(clicks, "arrived_at").alias("arrived"),
-            F.coalesce(F.col("kind") == rule.final_kind, F.lit(False)).alias("kind"),
-            F.when(~F.isnan(value), value).alias("value"),
-            F.when(fits, cents).otherwise(0).cast("long").alias("cents"),
-        ).alias("row"),
+        F.col("client_id").cast("long").alias("client_id"),
+        micros(clicks, "ts").alias("at"),
+        micros(clicks, "arrived_at").alias("arrived"),
+        F.coalesce((F.col("kind") == rule.final_kind) & ~F.isnan(value) & (value >= rule.final_value), F.lit(False)).alias("final"),
+        F.coalesce(F.when(fits, cents).otherwise(0), F.lit(0)).cast("long").alias("cents"),
     )
-    one = held.groupBy("click_id").agg(F.min("row").alias("row")).select("click_id", "row.*")
+    names = ["client_id", "at", "arrived", "final", "cents"]
+    # by a number and not by a struct of the row, so that a hash aggregate can do it
+    held = held.withColumn("h", F.xxhash64(*names))
+    one = held.groupBy("click_id").agg(*[F.min_by(c, "h").alias(c) for c in names])
     late = F.coalesce(F.col("arrived") - F.col("at") > rule.late, F.lit(False))
-    final = F.coalesce(F.col("kind") & (F.col("value") >= rule.final_value), F.lit(False))
-    return one.select("client_id", "at", "click_id", late.alias("late"), final.alias("final"), F.coalesce("cents", F.lit(0)).alias("cents"), F.floor(F.col("at") / rule.gap).cast("long").alias("slot"))
+    return one.select("client_id", "at", "click_id", late.alias("late"), "final", "cents", F.floor(F.col("at") / rule.gap).cast("long").alias("slot"))
 
 
 def _before(slots: DataFrame, day: Column, last: str, first: str | None = None) -> DataFrame:
@@ -95,7 +94,8 @@ def islands(clicks: DataFrame, rule: Rule) -> DataFrame:
     day = F.floor(F.col("slot") / rule.slots_a_day)
     timely = F.when(~F.col("late"), F.struct("at", "click_id", "final"))
     slots = clicks.groupBy("client_id", "slot").agg(F.max(timely).alias("last"), F.min(timely).alias("first"))
-    rows = clicks.join(_before(slots, day, "last", "first"), ["client_id", "slot"])
+    # a row a slot is hashed, so that clicks are sorted once, by the windows
+    rows = clicks.join(_before(slots, day, "last", "first").hint("shuffle_hash"), ["client_id", "slot"])
     order = Window.partitionBy("client_id", "slot").orderBy("at", "late", "click_id")
     rows = rows.withColumn("t", timely)
     rows = rows.withColumn("prev", F.coalesce(F.last("t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "before"))
