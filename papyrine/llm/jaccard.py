@@ -22,12 +22,12 @@ makes no pairs. This step is exact.
 
 So no region emits all its pairs unless none of its documents is near another's pivot. Every link is
 verified on the whole sets of both texts; a pair already in one component needs no further link. Equal sets
-are one representative, the least doc_id.
+are one representative, under a number of its own, so ids with several texts and null ids link like all others.
 
 Only counts reach the driver. Nulls: a null text is empty. Documents without words have no shingles and
-link with nothing; those of fewer words than `width` have their whole sequence as one shingle. A row with a
-null doc_id has the component of the rows with its set of shingles, and a null one if none of them has an
-id; it makes no links of its own. Of an id with several texts one text links. Repeated rows are exact copies.
+link with nothing; those of fewer words than `width` have their whole sequence as one shingle. A component is
+named after its least doc_id; rows with a null doc_id link, too, and a component of such rows alone is null. Each
+text of an id with several has its own row and links. Repeated rows are exact copies.
 An empty table gives no rows. Very long texts are read whole. Other columns are not read. A `percent`
 below PERCENT, for which the windows are laid out, is refused.
 """
@@ -100,21 +100,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
-    """doc_id, n (set size), digest of the set, and the window's hashes."""
+    """doc_id, row_key (a hash of id and text), n (set size), digest of the set, and the window's hashes."""
 
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            ids = batch.column(0)
-            sets = [shingles(t.as_py(), hashes, width) for t in batch.column(1)]
+            sets = [shingles(t.as_py(), hashes, width) for t in batch.column("text")]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), _lists([_longs(s[:window]) for s in sets])], ["doc_id", "n", "digest", "window"])
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), _lists([_longs(s[:window]) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *own], ["doc_id", "row_key", "n", "digest", "window"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, window array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row_key long, n long, digest binary, window array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), "text")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
-    """id and whole set of the documents in ids (id, digest), read from their texts; rows of other texts of an id are left out by the digest."""
+    """id and whole set of the representatives in ids (id, digest, row_key), read from a text of each; the digest tells rows of one key apart."""
 
     def run(batches):
         hashes = _WordHashes()
@@ -125,7 +129,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
                 same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(sets, part.column("digest"), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), _lists([_longs(s) for s in sets])], ["id", "set"]).filter(pa.array(same, pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").mapInArrow(run, "id long, set array<long>")
+    return _keyed(docs).join(ids, "row_key").select("id", "text", "digest").mapInArrow(run, "id long, set array<long>")
 
 
 def _measured(batches):
@@ -297,14 +301,15 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     if percent < PERCENT:
         raise ValueError(f"percent must be {PERCENT} or more")
     rows = cut(sketches(docs, width))
-    reps = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("window").alias("window")))
+    reps = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("window").alias("window"))
+    reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))  # the numbers are made once and written
     cells = reps.select(F.explode("window").alias("key"), "id", "n")
     pairs, crowded = _regions(cells)
     pairs = cut(pairs.where(F.col("times") >= _least(F.least("n", "m"), SHARED, LEAST)[1]).select("a", "b", "times"))
     members = cut(crowded.groupBy("id", "n").agg(F.count("*").alias("held")).where(_too_many(SHARED, LEAST)).select("id", "n"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.select("id")).distinct()
-    sets = full_sets(docs, reps.select("id", "digest").join(ids, "id", "left_semi"), width)
-    if not rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
+    sets = full_sets(docs, reps.select("id", "digest", "row_key").join(ids, "id", "left_semi"), width)
+    if not rows.groupBy("row_key").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["id"])
     # dealt out by id once and kept on the executors' disks: joins below move pairs, not sets; what is lost is made again
     sets = sets.repartition("id").persist(StorageLevel.DISK_ONLY)
@@ -333,7 +338,9 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     sets.unpersist()
-    named = reps.select("digest", "id").join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    own = reps.select("digest", "id", "doc_id").join(comps, "id", "left")
+    least = own.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = own.join(least, "component", "left").select("digest", F.coalesce("least", "doc_id").alias("component"))
     joined = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(component, "doc_id").alias("component_id"))
