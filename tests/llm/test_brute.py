@@ -99,9 +99,44 @@ def test_recall(spark, d, least):
     assert all(abs(s - want[q][v]) < 1e-12 for q, g in got.items() for v, s in g.items() if v in want[q])
 
 
-def test_ranked_share_falls():
-    share = [neighbours.hashes(n, 64)[1] / 128 ** (neighbours.hashes(n, 64)[0] + 1) for n in (500, 2000, 50_000, 500_000)]
-    assert share == sorted(share)[::-1] and share[-1] < share[0] / 4
+@pytest.mark.parametrize(("n", "size"), [(500, 64), (16_000, 64), (17_000, 64), (524_000, 64), (525_000, 64), (2_090_000, 64), (2_100_000, 64), (20_000, 128), (66_000, 128), (20_000, 256), (263_000, 256), (20_000, 768)])
+def test_radius_recall(n, size):
+    """Vectors without structure, on both sides of each change of the number of hashes: half the queries set the radius, the others are held against it."""
+    rng = np.random.default_rng(n + size)
+    asks = rng.standard_normal((400, size)).astype(np.float32)
+    asks /= np.linalg.norm(asks, axis=1, keepdims=True)
+    near, found = np.full((400, 5), -2.0, np.float32), np.zeros((400, 5, size), np.float32)
+    for at in range(0, n, 50_000):
+        x = rng.standard_normal((min(50_000, n - at), size)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        s = asks @ x.T
+        top = np.argpartition(-s, 5, axis=1)[:, :5]
+        both = np.concatenate([near, np.take_along_axis(s, top, 1)], 1)
+        best = np.argsort(-both, axis=1)[:, :5]
+        near = np.take_along_axis(both, best, 1)
+        found = np.take_along_axis(np.concatenate([found, x[top]], 1), best[:, :, None], 1)
+    k = neighbours.hashes(n, size)
+    q, c = np.repeat(asks, 5, 0).astype(np.float64), found.reshape(-1, size).astype(np.float64)
+    within = neighbours.radius(q[:1000], c[:1000], k)
+    assert neighbours.radius(q[1000:], c[1000:], k, recall=0.95) <= within  # 0.95 of the others are within it
+    near = [neighbours.axes(q[1995:1996], 0, h) for h in range(k)]
+    region, last = neighbours._probes([y[0] for y in near], within)
+    assert len({*zip(region.tolist(), last.tolist(), strict=True)}) == len(region) > 0
+
+
+def test_several_lengths(spark):
+    """Each length has its own hashes and radius, and nothing is compared over lengths."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal((64, 200, 3)[i % 3]).tolist()) for i in range(900)]
+    got = defaultdict(set)
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {}
+    for part in range(3):
+        own = [r for r in rows if r[0] % 3 == part]
+        want |= nearest(own, [at for at, (i, _) in enumerate(own) if i % 20 == 0])
+    assert all(len(g) == 5 for g in got.values()) and set(got) == set(want)
+    assert sum(len(got[q] & set(want[q])) for q in want) / (5 * len(want)) >= 0.95
 
 
 def test_parallel_vectors(spark):
