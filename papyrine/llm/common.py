@@ -30,6 +30,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Kept:
+    """A table written to the shared folder, to be dropped when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

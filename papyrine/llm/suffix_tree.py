@@ -15,7 +15,7 @@ state itself). N-grams without a number add nothing, so scoring is one lookup of
 
 How it runs: tokens are words of ASCII-lowered text and one end a text; words and n-grams are stood for by 64-bit hashes.
 Tasks take texts in parts of about PART_BYTES, sum up a part's n-grams and send them, packed in arrays, to buckets by hash,
-as many as the training tokens need at BUCKET_TOKENS each; n-grams of the HOT most frequent contexts are dealt out one by one.
+as many as the training tokens need at BUCKET_TOKENS each; n-grams of contexts that occur HOT_CONTEXT times are dealt out one by one.
 Only n-grams that can occur twice are sent: both shorter ones within must be in a Bloom filter of those that do (of BLOOM_BITS at
 most; what it lets through wrongly is counted like the rest). For scoring, the HOT most frequent n-grams' numbers are looked up
 in the task, all others in their bucket, and a part's sums meet again. The tables in between are written to the shared folder.
@@ -38,11 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import drop_shuffles, scratch
+from papyrine.llm.common import Kept, drop_shuffles
 
 DEPTH, LEAST, GAIN, ADD = 2, 4, 20.0, 0.1
 PART_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 8 << 20, 4_000_000, 16
-HOT, BITS_A_KEY, BLOOM_BITS = 1 << 17, 16, 1 << 28
+HOT, BITS_A_KEY, BLOOM_BITS = 1 << 17, 8, 1 << 28
+#: Occurrences from which a context's followers are dealt out one by one.
+HOT_CONTEXT = BUCKET_TOKENS // 8
 
 _U = np.uint64
 _END = np.array([0x9E3779B97F4A7C15], _U)
@@ -152,10 +154,10 @@ def bloom(keys: DataFrame, n: int, buckets: int) -> Bloom:
             slice_[spot & _U(bits - 1)] = 1
         return pa.table([table.column("bucket")[:1], pa.array([np.packbits(slice_, bitorder="little").tobytes()])], ["bucket", "slice"])
 
-    rows = keys.select(_bucket("key", buckets), "key").groupBy("bucket").applyInArrow(make, "bucket int, slice binary").collect()
+    made = keys.select(_bucket("key", buckets), "key").groupBy("bucket").applyInArrow(make, "bucket int, slice binary").toArrow()
     data = np.zeros(buckets * bits // 8, np.uint8)
-    for r in rows:
-        data[r.bucket * bits // 8 : (r.bucket + 1) * bits // 8] = np.frombuffer(r.slice, np.uint8)
+    for bucket, slice_ in zip(made.column("bucket"), made.column("slice"), strict=True):
+        data[bucket.as_py() * bits // 8 : (bucket.as_py() + 1) * bits // 8] = np.frombuffer(slice_.as_buffer(), np.uint8)
     return Bloom(buckets, bits, data)
 
 
@@ -199,12 +201,12 @@ def word_counts(texts: DataFrame, buckets: int) -> DataFrame:
 def gram_counts(texts: DataFrame, k: int, contexts, twice, hot, buckets: int) -> DataFrame:
     """ctx, low, gram and c of the n-grams of k tokens that occur twice or more in texts: text, and whose context passes.
 
-    contexts, twice: broadcast filters of n-grams of k - 1 tokens. An n-gram of a hot context is dealt by itself, others by their
+    contexts, twice, hot: broadcast filters of n-grams of k - 1 tokens. An n-gram of a hot context is dealt by itself, others by their
     context, so that a context's name is sent once with its followers.
     """
 
     def count(batches):
-        may_lead, may_end, hot_keys = contexts.value, twice.value, hot.value
+        may_lead, may_end, spread = contexts.value, twice.value, hot.value
         for batch in batches:
             for part in parts(batch):
                 code, text = tokens(part.column("text"))
@@ -216,9 +218,7 @@ def gram_counts(texts: DataFrame, k: int, contexts, twice, hot, buckets: int) ->
                 ctx, low = low[at - 1], low[at]
                 if not len(at):
                     continue
-                place = np.searchsorted(hot_keys, ctx)
-                spread = (hot_keys[np.minimum(place, len(hot_keys) - 1)] == ctx) if len(hot_keys) else np.zeros(len(ctx), bool)
-                bucket = bucket_of(np.where(spread, longer(ctx, low, k), ctx), buckets)
+                bucket = bucket_of(np.where(spread.may_hold(ctx), longer(ctx, low, k), ctx), buckets)
                 by = np.lexsort((low, ctx, bucket))
                 bucket, ctx, low = bucket[by], ctx[by], low[by]
                 head = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ctx[1:] != ctx[:-1])]))
@@ -243,73 +243,90 @@ def gram_counts(texts: DataFrame, k: int, contexts, twice, hot, buckets: int) ->
     return packed.groupBy("bucket").applyInArrow(merge, "ctx long, low long, gram long, c long")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+def _kept(df: DataFrame, name: str) -> Kept:
+    found = Kept(df, name)
     drop_shuffles(df.sparkSession)
-    return df.sparkSession.read.parquet(path)
+    return found
 
 
-def level(counted: DataFrame, shorter: DataFrame, least: int, gain: float) -> tuple[DataFrame, DataFrame]:
-    """counted: ctx, low, gram, c; shorter: key, c, p of the n-grams one token shorter. Gives the n-grams with p and step, and the contexts with lam (its log10) and keeps.
+def frequent(df: DataFrame, by: str, most: int = HOT) -> DataFrame:
+    """The rows with the largest counts, `most` at most: whole steps of a sixteenth of a power of two, so nothing is sorted and no partition sends more than is kept."""
+    step = F.floor(F.log2(F.greatest(F.col(by), F.lit(1))) * 16)
+    sizes = sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True)  # 1,024 steps at most
+    taken, least = 0, None
+    for r in sizes:
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r.step
+    return df.where(step >= least) if least is not None else df.limit(0)
+
+
+def level(counted: DataFrame, shorter: DataFrame, least: int, gain: float, last: bool) -> tuple[Kept, Kept]:
+    """counted: ctx, low, gram, c; shorter: key, c, p of the n-grams one token shorter. Gives the n-grams with step, and low (p unless last), and the contexts with lam (its log10) and keeps.
 
     p is the last token's probability in the context's state, step the log10 of what that is over lam times its probability in the suffix's state.
     """
     sums = counted.groupBy("ctx").agg(F.sum("c").alias("often"), F.count("*").alias("followers"), *[F.count_if(F.col("c") == m).alias(f"of{m}") for m in (2, 3)])
     sums = _kept(sums.join(shorter.where(F.col("c") >= least).select(F.col("key").alias("ctx"), F.col("c").alias("n")), "ctx"), "sums")
-    once, two, three = (x or 0 for x in sums.agg(F.sum(F.col("n") - F.col("often")), F.sum("of2"), F.sum("of3")).first())
+    once, two, three = (x or 0 for x in sums.df.agg(F.sum(F.col("n") - F.col("often")), F.sum("of2"), F.sum("of3")).first())
     d = 2 - 3 * (once / (once + 2 * two)) * three / two if two else 1.0
     d = min(1.9, max(0.5, d))
     lam = (F.col("n") - F.col("often") + d * F.col("followers")) / F.col("n")
-    contexts = sums.select("ctx", "n", lam.alias("lam"))
+    contexts = sums.df.select("ctx", "n", lam.alias("lam"))
     rows = counted.join(contexts, "ctx").join(shorter.select(F.col("key").alias("low"), F.col("p").alias("q")), "low")
-    own = (F.col("c") - d) / F.col("n")
-    rows = _kept(rows.select("ctx", "low", "gram", "c", (own + F.col("lam") * F.col("q")).alias("p"), F.log1p(own / (F.col("lam") * F.col("q"))).alias("step")), "grams")
-    gained = rows.groupBy("ctx").agg(F.sum(F.col("c") * F.col("step")).alias("won")).join(contexts, "ctx")
-    keeps = F.col("won") + F.col("n") * F.log("lam") >= gain
-    return rows.withColumn("step", F.col("step") / np.log(10)), _kept(gained.select("ctx", F.log10("lam").alias("lam"), keeps.alias("keeps")), "states")
+    own, below = (F.col("c") - d) / F.col("n"), F.col("lam") * F.col("q")
+    more = [] if last else [(own + below).alias("p")]
+    rows = _kept(rows.select("ctx", "low", "gram", "c", (F.log1p(own / below) / np.log(10)).alias("step"), *more), "grams")
+    won = rows.df.groupBy("ctx").agg(F.sum(F.col("c") * F.col("step")).alias("won")).join(contexts, "ctx")
+    keeps = (F.col("won") + F.col("n") * F.log10("lam")) * np.log(10) >= gain
+    states = _kept(won.select("ctx", F.log10("lam").alias("lam"), keeps.alias("keeps")), "states")
+    sums.drop()
+    return rows, states
 
 
 def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> tuple[Model, DataFrame]:
-    """texts: text. The model's sizes and hot numbers, and the numbers of all n-grams: key, value, c (of words; else null) and seen."""
+    """texts: text. The model's sizes and hot numbers, and the numbers of all n-grams: key, value and c (of words; else null)."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # six bytes a token, about; only the number of buckets hangs on it
     buckets = 1 << max(LEAST_BUCKETS - 1, size // 6 // BUCKET_TOKENS).bit_length()
     words = _kept(word_counts(texts, buckets), "words")
-    total, distinct = words.agg(F.sum("c"), F.count("*")).first()
+    total, distinct = words.df.agg(F.sum("c"), F.count("*")).first()
     model = Model(buckets, total or 0, distinct or 0)
-    sc = spark.sparkContext
-    shorter = words.select("key", "c", ((F.col("c") + ADD) / (model.total + ADD * (model.distinct + 1))).alias("p"))
-    levels = []
+    root = (F.col("c") + ADD) / (model.total + ADD * (model.distinct + 1))
+    shorter, levels = words.df.select("key", "c", root.alias("p")), []
     for k in range(2, depth + 2):
-        n_twice, n_lead = shorter.agg(F.count_if(F.col("c") > 1), F.count_if(F.col("c") >= least)).first()
-        if not n_lead:
+        marks = {"lead": F.col("c") >= least, "twice": F.col("c") > 1, "hot": F.col("c") >= HOT_CONTEXT}
+        sizes = shorter.agg(*[F.count_if(m) for m in marks.values()]).first()
+        if not sizes[0]:
             break
-        filters = [sc.broadcast(bloom(shorter.where(F.col("c") >= m).select("key"), n, buckets)) for m, n in ((least, n_lead), (2, n_twice))]
-        hot = sc.broadcast(np.sort(np.array([r.key for r in shorter.orderBy(F.desc("c"), "key").select("key").limit(HOT).collect()], np.int64).view(_U)))  # HOT at most
-        counted = _kept(gram_counts(texts, k, *filters, hot, buckets), "counted")
-        rows, states = level(counted, shorter, least, gain)
-        levels.append((rows, states))
-        shorter = rows.select(F.col("gram").alias("key"), "c", "p")
-    numbers = words.select("key", F.log10((F.col("c") + ADD) / (model.total + ADD * (model.distinct + 1))).alias("value"), "c", F.col("c").alias("seen"))
-    add = lambda df, key, value: df.select(F.col(key).alias("key"), F.col(value).alias("value"), F.lit(None).cast("long").alias("c"), (F.col("c") if "c" in df.columns else F.lit(0)).cast("long").alias("seen"))
-    below = None  # suffixes of retained contexts, as the n-grams that end in them
-    for rows, states in reversed(levels):
+        filters = [spark.sparkContext.broadcast(bloom(shorter.where(m).select("key"), n, buckets)) for m, n in zip(marks.values(), sizes, strict=True)]
+        counted = _kept(gram_counts(texts, k, *filters, buckets), "counted")
+        for b in filters:
+            b.destroy()
+        levels.append(level(counted.df, shorter, least, gain, k == depth + 1))
+        counted.drop()
+        shorter = levels[-1][0].df.select(F.col("gram").alias("key"), "c", "p") if k <= depth else None
+    numbers = words.df.select("key", F.log10(root).alias("value"), "c", F.col("c").alias("seen"))
+    none = F.lit(None).cast("long").alias("c")
+    below = None  # n-grams whose contexts are suffixes of retained ones
+    for rows, states in ((r.df, s.df) for r, s in reversed(levels)):
         if below is not None:
-            # a low's context is the suffix of the longer context it comes from
             more = rows.join(states.where("NOT keeps").select("ctx"), "ctx", "left_semi").join(below, rows.gram == below.key, "left_semi").select("ctx").distinct()
             states = states.join(more.withColumn("more", F.lit(True)), "ctx", "left").select("ctx", "lam", (F.col("keeps") | F.coalesce("more", F.lit(False))).alias("keeps"))
         kept = states.where("keeps")
         own = rows.join(kept.select("ctx"), "ctx", "left_semi")
-        numbers = numbers.unionByName(add(own, "gram", "step")).unionByName(add(kept, "ctx", "lam"))
+        numbers = numbers.unionByName(own.select(F.col("gram").alias("key"), F.col("step").alias("value"), none, F.col("c").alias("seen")))
+        numbers = numbers.unionByName(kept.select(F.col("ctx").alias("key"), F.col("lam").alias("value"), none, F.lit(0).cast("long").alias("seen")))
         below = own.select(F.col("low").alias("key")).distinct()
-    numbers = _kept(numbers.groupBy("key").agg(F.sum("value").alias("value"), F.max("c").alias("c"), F.max("seen").alias("seen")), "numbers")
-    top = numbers.orderBy(F.desc("seen"), "key").limit(HOT).collect()  # HOT at most
-    keys = np.array([r.key for r in top], np.int64).view(_U)
-    by = np.argsort(keys)
-    model.keys, model.values, model.counts = keys[by], np.array([r.value for r in top])[by], np.array([-1 if r.c is None else r.c for r in top], np.int64)[by]
-    return model, numbers
+    numbers = _kept(numbers.groupBy("key").agg(F.sum("value").alias("value"), F.max("c").alias("c"), F.max("seen").alias("seen")), "numbers").df
+    for made in (words, *[x for pair in levels for x in pair]):
+        made.drop()
+    top = frequent(numbers, "seen").select("key", "value", F.coalesce("c", F.lit(-1)).alias("c")).toArrow()
+    keys, values, counts = (top.column(c).to_numpy() for c in ("key", "value", "c"))
+    by = np.argsort(keys.view(_U))
+    model.keys, model.values, model.counts = keys.view(_U)[by], values[by], counts[by]
+    return model, numbers.drop("seen")
 
 
 _SUMS = "part long, row array<int>, known array<long>, base array<double>, score array<double>, doc array<long>, held array<boolean>, n array<long>"
