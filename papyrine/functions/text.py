@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that do not count as shared terms of two queries.
@@ -47,6 +47,30 @@ def keyword_in(text: Column, keyword: str) -> Column:
     return F.lower(text).rlike(f"(?<![a-z0-9]){re.escape(keyword)}(?![a-z0-9])")
 
 
+#: Words up to which a dictionary is held against a text's sequences in the row.
+SMALL_DICTIONARY = 1000
+
+
+def keyword_hits(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """docs: key, text; words: word and more. Each row of words for each document that its word stands alone in.
+
+    A text's runs of a-z and 0-9 with what lies between them give its sequences of as many runs as some word has; those meet the words in an equality join,
+    so the work does not grow with the number of words. A word begins and ends with a-z or 0-9.
+    """
+    sizes = [r[0] for r in words.select(F.size(F.regexp_extract_all("word", F.lit("[a-z0-9]+"), F.lit(0)))).distinct().collect()]  # numbers of runs in a word
+    if not words.where(~F.col("word").rlike("^[a-z0-9]([^A-Z]*[a-z0-9])?$") | F.col("word").isNull()).isEmpty():
+        raise ValueError("a word must be lower-case, begin and end with a letter or digit")
+    runs = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0)).alias("runs"))
+    # runs and what lies between them take turns; where a text begins with the latter makes no difference
+    of = lambda n: F.transform("runs", lambda _, i: F.array_join(F.slice("runs", i + 1, F.lit(2 * n - 1)), ""))
+    grams = [of(n) for n in sizes]
+    grams = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
+    known = words.select("word").distinct().limit(SMALL_DICTIONARY + 1).collect()
+    if len(known) <= SMALL_DICTIONARY:  # then only what is known leaves the row
+        grams = F.array_intersect(grams, F.array(*[F.lit(r.word) for r in known]).cast("array<string>"))
+    return runs.select(key, F.explode(grams).alias("word")).join(words, "word").distinct()
+
+
 def refocus_ok(query: Column, current: Column, base: Column) -> Column:
     """A narrower query that may replace the current one: bounded, new, mostly ASCII letters, and about the base's subject."""
     q = collapse_ws(query)

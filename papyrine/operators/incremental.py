@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from papyrine.functions.text import normalize_id
 from papyrine.sources.state import FetchOutcome
+from papyrine.sources.tables import checkpointed
 
 
 def scan(rows: DataFrame, since: datetime, until: datetime, kinds: list[str], kind: str = "category", ts: str = "ts", key: str = "event_id", limit: int | None = None) -> DataFrame:
@@ -21,9 +22,12 @@ def scan(rows: DataFrame, since: datetime, until: datetime, kinds: list[str], ki
 
 
 def attempt(source: Callable[[], DataFrame]) -> FetchOutcome:
-    """A source's rows, or why there are none; a source may be any callable that gives a DataFrame."""
+    """A source's rows, or why there are none; a source may be any callable that gives a DataFrame.
+
+    It is read to its end here, and its rows are kept, so a page that fails later on is a failed fetch, too, and nothing is fetched twice.
+    """
     try:
-        return FetchOutcome(source(), True)
+        return FetchOutcome(checkpointed(source()), True)
     except Exception as e:  # whatever a source raises is a failed fetch
         return FetchOutcome(None, False, f"{type(e).__name__}: {e}")
 

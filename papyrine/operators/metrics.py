@@ -8,6 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.operators.ranking import global_rank
+
+#: Draws for each row that a trial needs.
+SPARE = 8
+
 
 def f1(p: Column, r: Column) -> Column:
     """NULL where either is; 0 where both are 0."""
@@ -78,3 +83,27 @@ def random_trials(pool: DataFrame, trials: int, k: int, seed: int) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("trial").orderBy("h"))
     drawn = ids.mapInArrow(least, "trial long, h binary, paper_id string")
     return drawn.withColumn("rank", n).where(F.col("rank") <= k).select("trial", "paper_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def drawn_trials(pool: DataFrame, trials: int, k: int, seed: int) -> DataFrame:
+    """trial, paper_id, rank: k papers a trial without repeats, at positions drawn by hash; work is trials * k and one sort of the ids.
+
+    Draw j of a trial is the position sha256(seed:trial:j) modulo the pool's size, over ids in their order. A trial's first k different ones
+    count, out of SPARE * k draws; in a pool too small for that to be sure, of less than SPARE * k, all positions are ordered by hash instead.
+    """
+    if trials < 1 or k < 1:
+        raise ValueError("trials and k must be positive")
+    numbered = global_rank(pool.select("paper_id").where("paper_id IS NOT NULL"), F.col("paper_id"))
+    n = numbered.count()
+    hashed = F.sha2(F.concat_ws(":", F.lit(str(seed)), "trial", "j"), 256)
+    draws = pool.sparkSession.range(trials).withColumnRenamed("id", "trial")
+    small = n < SPARE * k
+    draws = draws.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit((max(n, 1) if small else SPARE * k) - 1)))).withColumn("h", hashed)
+    if small:
+        first = draws.withColumn("rank", F.col("j") + 1).withColumn("by", F.col("h"))
+    else:
+        at = F.pmod(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), F.lit(n)) + 1
+        first = draws.groupBy("trial", at.alias("rank")).agg(F.min("j").alias("by"))
+    place = F.row_number().over(Window.partitionBy("trial").orderBy("by"))  # SPARE * k rows a trial
+    chosen = first.withColumn("place", place.cast("bigint")).where(F.col("place") <= k).select("trial", "rank", "place")
+    return chosen.join(numbered, "rank").select("trial", "paper_id", F.col("place").alias("rank"))

@@ -38,6 +38,15 @@ def embed_offline(texts: list[str], dims: int = 64) -> np.ndarray:
     return out
 
 
+def embed_words(texts: list[str], dims: int = 64) -> np.ndarray:
+    """Hashed bags of runs of a-z and 0-9 by MD5, which an SQL engine can make as well."""
+    out = np.zeros((len(texts), dims))
+    for i, t in enumerate(texts):
+        for w in re.findall("[a-z0-9]+", t.lower()):
+            out[i, int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dims] += 1
+    return out
+
+
 def embedded(text: Column, model: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: embed_offline) -> Column:
     """array<double> of a text column; a model is loaded once a task, batches go to it as Arrow hands them over."""
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import tokenize
@@ -22,6 +24,58 @@ def dense_rank(vectors: DataFrame, query: list[float], key: str = "vec_id", vect
     return global_rank(sims, F.desc("sim"), F.col(key))
 
 
+#: Queries that a task holds at once, and rows that it multiplies with them at once.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+
+
+def _unit(column: pa.Array, d: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=(norm > 0) & np.isfinite(norm))
+
+
+def dense_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "pos", query: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """query, key, sim and rank of the k nearest of all vectors for each query, by cosine; ties by key. A vector without a direction has 0 with all.
+
+    queries may be any number: they are taken in blocks of QUERY_BLOCK, and each block meets the vectors in matrix products of a task's Arrow
+    batches. Of a partition only k rows a query leave it. All vectors have one length; rows with a null vector or key are left out.
+    """
+    queries = queries.where(F.col(vector).isNotNull() & F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    queries = checkpointed(queries.withColumn("_at", F.monotonically_increasing_id()))
+    order = global_rank(queries.select("_at"), F.col("_at")) if queries.count() > QUERY_BLOCK else queries.select("_at", F.lit(1).alias("rank"))
+    blocked = queries.join(order, "_at").withColumn("block", F.floor((F.col("rank") - 1) / QUERY_BLOCK))
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    found = None
+    for (block,) in sorted(blocked.select("block").distinct().collect()):
+        part = blocked.where(F.col("block") == block).select(query, "v").toArrow()  # QUERY_BLOCK at most
+        near = rows.mapInArrow(_nearest(part.column(query).to_numpy(), part.column("v").combine_chunks(), k), "q long, c long, sim double")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"{query} long, {key} long, sim double, rank long")
+    best = Window.partitionBy("q").orderBy(F.desc("sim"), "c")
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("c").alias(key), "sim", "rank")
+
+
+def _nearest(ids: np.ndarray, vectors: pa.Array, k: int):
+    d = len(vectors[0])
+    asks = _unit(vectors, d)
+
+    def run(batches):
+        sims, keys = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                own = part.column("c").to_numpy()
+                s = np.concatenate([sims, np.round(asks @ _unit(part.column("v"), d).T, 9) + 0.0], 1)
+                c = np.concatenate([keys, np.broadcast_to(own, (len(ids), len(own)))], 1)
+                top = np.lexsort((c, -s), axis=1)[:, :k]
+                sims, keys = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+        real = np.isfinite(sims)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(keys[real]), pa.array(sims[real])], ["q", "c", "sim"])
+
+    return run
+
+
 def idf_table(docs: DataFrame, text: Column) -> DataFrame:
     """term, df and idf; negative idf becomes EPSILON times the vocabulary's mean before replacement."""
     df = docs.select(F.explode(F.array_distinct(tokenize(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))

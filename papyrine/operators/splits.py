@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.operators.ranking import global_rank
+
 
 def stratified(labels: DataFrame, ratio: float = 0.7, seed: int = 20260717) -> DataFrame:
     """labels: paper_id, label. Adds split: by label in hash order, the first round(n * ratio), at least 1 and at most n - 1, are dev.
@@ -14,10 +16,13 @@ def stratified(labels: DataFrame, ratio: float = 0.7, seed: int = 20260717) -> D
     if not 0 < ratio < 1:
         raise ValueError("ratio must be between 0 and 1")
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), "label", "paper_id"), 256)
-    n = F.count("*").over(Window.partitionBy("label"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(h, "paper_id"))
+    # a range sort by label and hash, so that no task holds a label; a label's places begin behind those of the labels before
+    ranked = global_rank(labels.withColumn("_h", h), F.col("label"), F.col("_h"), F.col("paper_id"), name="_place")
+    held = ranked.groupBy("label").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    ranked = ranked.join(held, ranked["label"].eqNullSafe(held["label"])).drop(held["label"])
+    n, place = F.col("_n"), F.col("_place") - F.col("_first") + 1
     dev = F.when(n == 1, F.lit(1 if ratio >= 0.5 else 0)).otherwise(F.least(F.greatest(F.bround(n * F.lit(ratio), 0), F.lit(1)), n - 1))
-    return labels.withColumn("split", F.when(place <= dev, "dev").otherwise("test"))
+    return ranked.select(*[F.col(f"`{c}`") for c in labels.columns], F.when(place <= dev, "dev").otherwise("test").alias("split"))
 
 
 def snapshot(papers: DataFrame, labels: DataFrame, scores: DataFrame, anchor: Column, ratio: float = 0.7, seed: int = 20260717) -> DataFrame:

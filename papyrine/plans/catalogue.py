@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES (name -> callable) and SQL (name -> text).
-MODULES: tuple[str, ...] = ("retrieval", "relational", "evaluation", "decisions", "agent")
+MODULES: tuple[str, ...] = ("retrieval", "relational", "evaluation", "decisions", "agent", "rounds")
 
 
 def _merged(field: str) -> dict:

@@ -34,9 +34,20 @@ def is_anchor(pos):
     return pos % 50 == 7
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir; one of our own where it is unset, which only a local master can share."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="papyrine-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that executors share (spark.checkpoint.dir; our own where it is unset)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="papyrine-"))
+    """Cuts lineage by a checkpoint in the folder that executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
