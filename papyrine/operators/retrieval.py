@@ -42,8 +42,8 @@ def dense_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "pos",
     """
     queries = queries.where(F.col(vector).isNotNull() & F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     queries = checkpointed(queries.withColumn("_at", F.monotonically_increasing_id()))
-    order = global_rank(queries.select("_at"), F.col("_at")) if queries.count() > QUERY_BLOCK else queries.select("_at", F.lit(1).alias("rank"))
-    blocked = queries.join(order, "_at").withColumn("block", F.floor((F.col("rank") - 1) / QUERY_BLOCK))
+    order = global_rank(queries.select(F.col("_at").alias("_q")), F.col("_q")) if queries.count() > QUERY_BLOCK else queries.select(F.col("_at").alias("_q"), F.lit(1).alias("rank"))
+    blocked = queries.join(order, F.col("_at") == F.col("_q")).withColumn("block", F.floor((F.col("rank") - 1) / QUERY_BLOCK))
     rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     found = None
     for (block,) in sorted(blocked.select("block").distinct().collect()):

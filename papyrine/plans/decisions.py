@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyrine.functions import strict as J
 from papyrine.functions import text as T
 from papyrine.operators import decision as D
 from papyrine.operators import incremental as I
-from papyrine.operators import providers as P
 from papyrine.operators.ranking import FUNNEL
 from papyrine.plans import evaluation as E
 from papyrine.plans import retrieval as R
-from papyrine.sources.tables import labels, papers, table
+from papyrine.sources.tables import labels, papers, shared_dir, table
 
 CASES = [(1, "relevant agents for retrieval and planning", "agents, retrieval, planning, vision"), (2, "short", "agents"), (3, "agents, retrieval, planning, vision", "agents, retrieval, planning, vision"), (4, "cooking recipes for lazy weekend afternoons", "agents with retrieval"), (5, "  agents   with   retrieval   and   memory ", "agents with retrieval")]
 LINES = [(1, '{"id":1,"score":7,"reason":"fits"}'), (2, '{"id":1,"score":"7","reason":"fits"}'), (3, '{"id":1,"score":999,"reason":"fits"}'), (4, '{"id":1,"score":3}'), (5, "oops"), (6, '{"id":1,"score":true,"reason":"x"}'), (7, '{"id":1,"score":2,"reason":" "}'), (8, '{"id":1,"score":2,"reason":"x"} tail'), (9, '{"id":2,"score":2,"reason":"x"}'), (10, '{"id":1,"score":2.0,"reason":"x"}')]
@@ -38,13 +38,11 @@ def refocus_validate(spark, d):
 
 def score_validate(spark, d):
     """Each line as the whole answer for one row."""
-    judge = F.pandas_udf(lambda s: s.map(lambda x: not P.parse_scores(x, 1)[1]), "boolean")
-    return frame(spark, LINES, "id", "line").select("id", judge("line").alias("valid"))
+    return frame(spark, LINES, "id", "line").select("id", J.score_line(F.col("line"), 1).alias("valid"))
 
 
 def decision_validate(spark, d):
-    judge = F.pandas_udf(lambda s: s.map(lambda x: D.parsed(x)[0]), "boolean")
-    return frame(spark, RAW, "id", "raw").select("id", judge("raw").alias("valid"))
+    return frame(spark, RAW, "id", "raw").select("id", J.decision(F.col("raw")).alias("valid"))
 
 
 def widen_categories(spark, d):
@@ -127,8 +125,7 @@ def blind_sample(spark, d):
 def stream_dedup(spark, d):
     from papyrine.streaming.ingest import ingest
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
-    at = f"{base}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     ingest(spark, d, events.schema, f"{at}/store", f"{at}/checkpoint", pattern="events.parquet")
     return spark.read.parquet(f"{at}/store").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))

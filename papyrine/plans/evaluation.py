@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from papyrine.operators import metrics as M
 from papyrine.operators import ranking as K
+from papyrine.operators import retrieval as V
 from papyrine.operators import splits as S
 from papyrine.plans import retrieval as R
-from papyrine.sources.tables import checkpointed, is_anchor, labels, papers
+from papyrine.sources.tables import checkpointed, is_anchor, labels, papers, table
 
 N = 6
 TRIALS_DRAWN = 1000
@@ -71,8 +72,8 @@ def methods(spark, d) -> DataFrame:
     key = lambda df, name: df.select(F.lit(name).alias("method"), F.col("pos").cast("string").alias("paper_id"), "rank")
     words = checkpointed(R.bm25(spark, d).select("pos", "rank"))
     fused = checkpointed(R.hybrid(spark, d, words).select("pos", "rank"))
-    dense = R.dense(spark, d).withColumnRenamed("vec_id", "pos")
-    dense = dense.join(papers(spark, d).select("pos"), "pos", "left_semi")
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "pos").join(papers(spark, d).select("pos"), "pos", "left_semi")
+    dense = V.dense_rank(vectors, R.query_vector(spark, d), "pos")  # papers are picked first, so ranks have no gaps
     final = K.final_order(scored(spark, d, ranked=fused), top_k=K.FUNNEL).select("pos", F.col("final_rank").alias("rank"))
     return reduce(DataFrame.unionByName, [key(words, "bm25"), key(dense, "dense"), key(fused, "hybrid"), key(final, "scored")])
 
@@ -201,7 +202,7 @@ te AS (SELECT weight, paper_id, row_number() OVER (PARTITION BY weight ORDER BY
 dl AS (SELECT paper_id, label FROM sp WHERE split = 'dev'), tl AS (SELECT paper_id, label FROM sp WHERE split = 'test'),
 {JUDGED('dv', 10, 'weight', 'dl', 'dm')}, {JUDGED('te', 10, 'weight', 'tl', 'tm')}"""
 ALL = f"""{HEAD}, allm AS (SELECT 'bm25' AS method, CAST(pos AS VARCHAR) AS paper_id, rank FROM bm25 UNION ALL
- SELECT 'dense', CAST(vec_id AS VARCHAR), rank FROM dense WHERE vec_id IN (SELECT pos FROM papers) UNION ALL SELECT 'hybrid', CAST(pos AS VARCHAR), rank FROM fused UNION ALL
+ SELECT 'dense', CAST(pos AS VARCHAR), rank FROM dp UNION ALL SELECT 'hybrid', CAST(pos AS VARCHAR), rank FROM fused UNION ALL
  SELECT 'scored', paper_id, row_number() OVER (ORDER BY score DESC, rank) FROM head), {JUDGED('allm', 10)}"""
 CLASS = f"""WITH {R.PAPERS}, {L}, c AS (SELECT count(*) FILTER (s >= 7 AND label = 'rel') AS tp, count(*) FILTER (s >= 7 AND label = 'irrel') AS fp, count(*) FILTER (s < 7 AND label = 'rel') AS fn, count(*) FILTER (s < 7 AND label = 'irrel') AS tn
  FROM (SELECT n_chars % 11 AS s, label FROM papers JOIN lab USING (paper_id))), x AS (SELECT *, (tp + tn) / n::DOUBLE AS a, tp / (tp + fp)::DOUBLE AS p, tp / (tp + fn)::DOUBLE AS r, tn / (tn + fp)::DOUBLE AS s,

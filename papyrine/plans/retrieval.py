@@ -113,7 +113,9 @@ HYBRID = f"WITH {PAPERS}, {DENSE}, {DENSE_PAPERS}, {BM25()}, {FUSED('dp')}"
 QUERIES = {f.__name__: f for f in (cosine_rank, bm25_stats, bm25_rank, bm25_bg, hybrid_rank, rrf_fuse, llm_candidates, pref_bonus)}
 SQL = {
     "cosine_rank": f"WITH {DENSE} SELECT vec_id, round(sim, 6) AS sim, rank FROM dense",
-    "bm25_stats": f"WITH {PAPERS}, {BM25()} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_stats": f"""WITH {PAPERS}, tok AS (SELECT list_distinct(regexp_extract_all(lower(title || '. ' || summary), '[a-z0-9]+')) AS ts FROM papers), n AS (SELECT count(*) AS n FROM tok),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(ts) AS term FROM tok) GROUP BY term), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, n), m AS (SELECT avg(raw) AS m FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * m ELSE raw END, 6) AS idf FROM raw, m""",
     "bm25_rank": f"WITH {PAPERS}, {BM25()} SELECT CAST(pos AS VARCHAR) AS paper_id, round(score, 6) AS score, rank FROM bm25",
     "bm25_bg": f"WITH {PAPERS}, {BM25(EN)} SELECT CAST(pos AS VARCHAR) AS paper_id, round(score, 6) AS score, rank FROM bm25",
     "hybrid_rank": f"{HYBRID} SELECT CAST(pos AS VARCHAR) AS paper_id, round(rrf, 9) AS rrf, rank FROM fused",

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
+from papyrine.functions import strict as J
 from papyrine.functions import text as T
-from papyrine.operators import decision as D
 from papyrine.operators import feedback as B
 from papyrine.operators import incremental as I
 from papyrine.operators import metrics as M
 from papyrine.operators import providers as P
+from papyrine.operators import report
 from papyrine.operators import retrieval as O
+from papyrine.operators.statistics import Statistics
 from papyrine.plans import evaluation as E
 from papyrine.plans import retrieval as R
 from papyrine.plans.agent import IN_WINDOW, KINDS, SINCE, UNTIL
-from papyrine.sources import paged
+from papyrine.sources import documents, paged
 from papyrine.sources.tables import checkpointed, labels, papers, shared_dir, table
 from papyrine.streaming.rounds import Rounds, follow
 
@@ -134,9 +136,10 @@ def dense_recall(spark, d):
 
 
 def category_texts(spark, d):
-    """The categories that each document's words call for."""
-    words = spark.createDataFrame([(w, c) for c, ws in D.HINTS for w in ws], "word string, category string")
-    return T.keyword_hits(papers(spark, d), "pos", "summary", words).select("pos", "category").distinct()
+    """The documents that hold the first one, two or three words of a benchmark text, standing alone; each text's words are a category's keywords."""
+    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    words = table(spark, d, "benchmark").select("item_id", F.explode(F.array(*[F.array_join(F.slice(runs, 1, n), " ") for n in (1, 2, 3)])).alias("word")).where("word <> ''")
+    return T.keyword_hits(papers(spark, d), "pos", "summary", words).select("pos", "item_id", "word").distinct()
 
 
 def random_draws(spark, d):
@@ -154,26 +157,61 @@ def refocus_texts(spark, d):
 
 
 def citation_texts(spark, d):
-    """Numbers in square brackets of every document, and whether they all are of 1 to 5."""
-    cited = T.citations(F.regexp_replace("summary", r"\[\d{19,}\]", ""))
-    p = papers(spark, d).select("pos", cited.alias("c")).where("size(c) > 0")
+    """Every document as an answer that cites two numbers behind its text; whether all it cites are of the records 1 to 5."""
+    p = papers(spark, d)
+    answer = F.concat(F.coalesce("summary", F.lit("")), F.lit(" ["), (F.col("pos") % 7).cast("string"), F.lit("] and ["), (F.col("n_chars") % 6).cast("string"), F.lit("]"))
+    p = p.select("pos", T.citations(answer).alias("c"))
     return p.select("pos", F.size("c").cast("bigint").alias("n"), F.forall("c", lambda x: x.between(1, 5)).alias("valid"))
 
 
+# Lines and decisions as a model may write them, with places for an event's number and type.
+LINES = [
+    '{"id":1,"score":#,"reason":"@"}', '{"score":#, "reason":"@","id":2}', '{"id":3,"score":#,"reason":"@"}', '{"id":1,"score":#.0,"reason":"@"}', '{"id":1,"score":"#","reason":"@"}', '{"id":true,"score":#,"reason":"@"}',
+    '{"id":1,"score":#,"reason":" "}', '{"id":1,"score":#,"reason":"@"} tail', '{"id":1,"score":#,"reason":"@"}}', '[{"id":1,"score":#,"reason":"@"}]', '{"id":1,"score":#}', '{"id":1,"score":#,"reason":"@","more":1}', '@', '',
+]
+CHOICES = [
+    '{"action":"stop","why":"@"}', '{"action":"stop","why":#}', '{"action":"refocus","new_query":"@","why":"@","more":[#]}', '{"action":"refocus","new_query":#,"why":"@"}', '{"action":"widen","new_categories":["@"],"why":"@"}',
+    '{"action":"widen","new_categories":[],"why":"@"}', '{"action":"widen","new_categories":["@",#],"why":"@"}', '{"action":"widen","new_categories":"@","why":"@"}', '{"action":"@","why":"@"}', '{"action":"stop","why":"@"},', '[#]', '{"why":"@"}',
+]
+
+
+def _written(spark, d, forms: list[str]):
+    """Each event's line in one of the forms."""
+    n = F.col("event_id") % len(forms)
+    form = F.element_at(F.array(*[F.lit(f) for f in forms]), (n + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", F.replace(F.replace(form, F.lit("#"), (F.floor(F.col("event_id") / len(forms)) % 13).cast("string")), F.lit("@"), F.col("event_type")).alias("line"))
+
+
+def score_lines(spark, d):
+    return _written(spark, d, LINES).select("event_id", J.score_line(F.col("line"), 2).alias("valid"))
+
+
+def decision_lines(spark, d):
+    return _written(spark, d, CHOICES).select("event_id", J.decision(F.col("line")).alias("valid"))
+
+
 # -- SQL ------------------------------------------------------------------------------------------
 VOTES = "v AS (SELECT event_id, CAST(d.doc_id AS VARCHAR) AS paper_id, split_part(d.text, '.', 1) AS title, d.text AS summary, CASE event_type WHEN 'click' THEN 'up' ELSE 'down' END AS label, ts AS \"at\" FROM events e JOIN documents d ON d.doc_id = e.user_id WHERE event_type IN ('click', 'error'))"
 STATE = f"{VOTES}, st AS (SELECT *, CASE WHEN coalesce(summary, '') = '' THEN title ELSE title || '. ' || summary END AS anchor FROM v QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY \"at\" DESC, event_id DESC) = 1)"
 EMBED = lambda name, key, text, source: f"""{name}t AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {source}), {name}c AS (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS dim, count(*)::DOUBLE AS n FROM {name}t GROUP BY ALL),
 {name}n AS (SELECT {key}, sqrt(sum(n * n)) AS norm FROM {name}c GROUP BY {key})"""
-WORDS = ", ".join(f"('{c}', '{w}')" for c, ws in D.HINTS for w in ws)
 DRAWS = f"""WITH {R.PAPERS}, {E.L}, nu AS (SELECT paper_id, row_number() OVER (ORDER BY paper_id) AS pl, count(*) OVER () AS n FROM papers), g AS (SELECT t.trial, j.j, sha256('42:' || t.trial || ':' || j.j) AS h, (SELECT max(n) FROM nu) AS n
  FROM (SELECT unnest(range({E.TRIALS_DRAWN})) AS trial) t, (SELECT unnest(range(greatest(80, least(200, (SELECT count(*) FROM papers))))) AS j) j),
 big AS (SELECT trial, CAST('0x' || substr(h, 1, 15) AS BIGINT) % n + 1 AS pl, min(j) AS o FROM g WHERE n >= 80 AND j < 80 GROUP BY ALL),
 tr AS (SELECT b.trial, nu.paper_id, row_number() OVER (PARTITION BY b.trial ORDER BY b.o) AS rank FROM big b JOIN nu USING (pl)), {E.JUDGED('tr', 10, 'trial')}"""
-QUERIES = {f.__name__: f for f in (source_window, source_latest, source_status, stream_rounds, feedback_state, feedback_anchors, feedback_excluded, feedback_bonus, anchor_owners, dense_recall, category_texts, random_draws, refocus_texts, citation_texts)}
+QUERIES = {f.__name__: f for f in (source_window, source_latest, source_status, stream_rounds, feedback_state, feedback_anchors, feedback_excluded, feedback_bonus, anchor_owners, dense_recall, category_texts, random_draws, refocus_texts, citation_texts, score_lines, decision_lines)}
 FLAT = lambda x: f"trim(regexp_replace({x}, '[\\s\\p{{Z}}\\x{{85}}\\x0b]+', ' ', 'g'))"
 _TERMS = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda t: t NOT IN ({', '.join(f"'{w}'" for w in T.STOPWORDS)}))"
+def WRITTEN(forms: list[str]) -> str:
+    listed = ", ".join("'" + f.replace("'", "''") + "'" for f in forms)
+    return f"w AS (SELECT event_id, replace(replace(([{listed}])[event_id % {len(forms)} + 1], '#', CAST(event_id // {len(forms)} % 13 AS VARCHAR)), '@', event_type) AS line FROM events)"
+
+
 SQL = {
+    "score_lines": f"""WITH {WRITTEN(LINES)} SELECT event_id, CASE WHEN NOT json_valid(line) OR json_type(line) <> 'OBJECT' THEN false ELSE coalesce(list_sort(json_keys(line)) = ['id', 'reason', 'score'] AND json_type(line, '$.id') = 'UBIGINT'
+ AND json_type(line, '$.score') = 'UBIGINT' AND json_type(line, '$.reason') = 'VARCHAR' AND TRY_CAST(line ->> '$.id' AS BIGINT) BETWEEN 1 AND 2 AND TRY_CAST(line ->> '$.score' AS BIGINT) BETWEEN 0 AND 10 AND trim(line ->> '$.reason') <> '', false) END AS valid FROM w""",
+    "decision_lines": f"""WITH {WRITTEN(CHOICES)} SELECT event_id, coalesce(CASE WHEN NOT json_valid(line) OR json_type(line) <> 'OBJECT' THEN false ELSE json_type(line, '$.why') = 'VARCHAR' AND CASE line ->> '$.action' WHEN 'stop' THEN true
+ WHEN 'refocus' THEN json_type(line, '$.new_query') = 'VARCHAR' WHEN 'widen' THEN json_type(line, '$.new_categories') = 'ARRAY' AND len(list_filter(CAST(json_extract(line, '$.new_categories[*]') AS JSON[]), lambda c: json_type(c) <> 'VARCHAR')) = 0 ELSE false END END, false) AS valid FROM w""",
     "source_window": f"SELECT event_id, ts, event_type FROM events WHERE {IN_WINDOW}",
     "source_latest": "SELECT event_id, ts, event_type FROM events WHERE event_type IN ('click', 'view') ORDER BY ts DESC, event_id LIMIT 30",
     "source_status": "SELECT 'rows' AS kind, true AS ok, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12' UNION ALL SELECT * FROM (VALUES ('empty', true, 0), ('reversed', false, 0), ('unknown client', false, 0))",
@@ -189,11 +227,81 @@ SELECT DISTINCT sha256(anchor) AS anchor, paper_id FROM an JOIN papers p ON anch
 s AS (SELECT item_id, pos, sum(a.n * b.n) AS dot FROM qc a JOIN dc b USING (dim) GROUP BY item_id, pos),
 r AS (SELECT b.item_id, p.pos, round(coalesce(dot / (qn.norm * dn.norm), 0), 9) AS sim FROM benchmark b CROSS JOIN papers p LEFT JOIN s ON s.item_id = b.item_id AND s.pos = p.pos LEFT JOIN qn ON qn.item_id = b.item_id LEFT JOIN dn ON dn.pos = p.pos)
 SELECT item_id, pos, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, pos) AS rank FROM r) WHERE rank <= 10""",
-    "category_texts": f"WITH h AS (SELECT * FROM (VALUES {WORDS}) h(category, word)) SELECT DISTINCT doc_id AS pos, category FROM documents, h WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || word || '($|[^a-z0-9])')",
+    "category_texts": """WITH r AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark), h AS (SELECT DISTINCT item_id, array_to_string(ws[1:n], ' ') AS word FROM r, (VALUES (1), (2), (3)) t(n) WHERE len(ws) > 0),
+u AS (SELECT DISTINCT word FROM h), m AS (SELECT doc_id AS pos, word FROM documents, u WHERE contains(lower(text), word) AND regexp_matches(lower(text), '(^|[^a-z0-9])' || word || '($|[^a-z0-9])'))
+SELECT DISTINCT pos, item_id, word FROM m JOIN h USING (word)""",
     "random_draws": f"{DRAWS} SELECT trial, precision, recall, coverage FROM jm",
     "citation_texts": """SELECT pos, CAST(len(c) AS BIGINT) AS n, len(list_filter(c, lambda x: x NOT BETWEEN 1 AND 5)) = 0 AS valid
- FROM (SELECT doc_id AS pos, list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '\\[\\d{19,}\\]', '', 'g'), '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT))) AS c FROM documents) WHERE len(c) > 0""",
+ FROM (SELECT doc_id AS pos, list_distinct(list_transform(regexp_extract_all(coalesce(text, '') || ' [' || doc_id % 7 || '] and [' || n_chars % 6 || ']', '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT))) AS c FROM documents)""",
     "refocus_texts": f"""WITH c AS (SELECT conv_id, {FLAT('text')} AS f, current FROM (SELECT conv_id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS current FROM conversations) WHERE current IS NOT NULL AND text IS NOT NULL)
 SELECT conv_id, count(*) AS pairs, count(*) FILTER (length(f) BETWEEN 20 AND 500 AND len(string_split(f, ' ')) <= 80 AND lower(f) <> lower({FLAT('current')}) AND len(regexp_extract_all(f, '[A-Za-z]')) >= 10
  AND len(regexp_extract_all(f, '[A-Za-z]')) >= 0.8::DOUBLE * length(regexp_replace(f, '[^\\p{{L}}]', '', 'g')) AND len(list_intersect({_TERMS('f')}, {_TERMS('current')})) >= least(2, len({_TERMS('current')}))) AS valid FROM c GROUP BY conv_id""",
 }
+
+
+# -- statistics of a growing store, snapshot documents ----------------------------------------------
+def _statistics(spark, d) -> Statistics:
+    """The documents' statistics, added in three rounds, the second one twice."""
+    p = papers(spark, d)
+    kept = Statistics(spark, state_path(spark, "statistics"))
+    top = p.agg(F.max("pos")).first()[0] or 0
+    for n, (low, high) in enumerate(((0, top // 3), (top // 3, top // 2), (top // 2, top + 1))):
+        for _ in range(1 + (n == 1)):
+            kept.add(p.where(F.col("pos").between(low, high - 1)), R.text(), n)
+    return kept
+
+
+def statistics_rounds(spark, d):
+    return _statistics(spark, d).idf().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def statistics_rank(spark, d):
+    """English documents ranked under the whole store's statistics."""
+    p = papers(spark, d).where("lang = 'en'")
+    return _statistics(spark, d).rank(p, R.text(), R.question(spark, d)).select(F.col("pos").cast("string").alias("paper_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def snapshot_ranges(spark, d):
+    """A snapshot written as a document and read back: its ranges and their hashes."""
+    path = state_path(spark, "snapshot")
+    documents.write(E.snap(spark, d), path, "1")
+    return documents.ranges_of(documents._numbered(documents.read(spark, path)), 100).select("at", "first", "last", "n", "h")
+
+
+QUERIES |= {f.__name__: f for f in (statistics_rounds, statistics_rank, snapshot_ranges)}
+SQL |= {
+    "statistics_rounds": R.SQL["bm25_stats"],
+    "statistics_rank": R.SQL["bm25_bg"],
+    "snapshot_ranges": f"""{E.SNAP}, l AS (SELECT x.id AS id, sha256(CAST(to_json(x) AS VARCHAR)) AS h FROM (SELECT {{'id': id, 'title': title, 'summary': summary, 'label': label, 'is_anchor': is_anchor, 'score': score, 'reason': reason, 'split': split}} AS x FROM snap)),
+n AS (SELECT *, row_number() OVER (ORDER BY id, h) - 1 AS pl FROM l)
+SELECT pl // 100 AS "at", min(id) AS first, max(id) AS last, count(*) AS n, sha256(string_agg(h, '' ORDER BY pl)) AS h FROM n GROUP BY 1""",
+}
+
+
+# -- the report ---------------------------------------------------------------------------------------
+def _reader(paper: dict) -> str:
+    """Stands in for a model: the title's length; it fails for some and says nothing for others."""
+    n = len(paper["title"])
+    if n % 5 == 0:
+        raise KeyError("no answer")
+    return "" if n % 5 == 1 else f"title of {n} characters"
+
+
+TRACE = ({"reflection": 1, "action": "widen", "source": "model", "reason": "few found"}, {"reflection": 2, "action": "stop"})
+
+
+def report_full(spark, d):
+    """The final ranking's report."""
+    names = papers(spark, d).select("paper_id", F.translate("title", "\n", " ").alias("title"), "summary")
+    top = E.rank_final(spark, d).join(names, "paper_id").withColumn("reason", F.concat(F.lit("rank "), F.col("rank").cast("string")))
+    return report.report(top, report.Facts("2024-02-01", ("a", "b", "a"), stop_reason="enough", trace=TRACE), _reader)
+
+
+QUERIES["report_full"] = report_full
+_READ = f"CASE length(title) % 5 WHEN 0 THEN '{report.READ_FAILED.format('KeyError')}' WHEN 1 THEN '{report.READ_EMPTY}' ELSE 'title of ' || length(title) || ' characters' END"
+SQL["report_full"] = f"""{E.FINAL}, t AS (SELECT f.paper_id, translate(p.title, chr(10), ' ') AS title, CAST(f.score AS BIGINT) AS score, f.rank, f.score >= 7 AS good, row_number() OVER (PARTITION BY f.score >= 7 ORDER BY f.rank) AS place FROM fin f JOIN papers p USING (paper_id))
+SELECT 0 AS section, 0 AS n, '# Report of 2024-02-01' AS line UNION ALL SELECT 0, 1, 'Categories: a, b | recommended ' || count(*) FILTER (good) || ' | to explore ' || count(*) FILTER (NOT good) || ' | scores passed' FROM t
+UNION ALL SELECT * FROM (VALUES (1, 0, '> Stopped: enough'), (1, 1, '## Trace'), (1, 2, '- reflection 1: `widen` (model) few found'), (1, 3, '- reflection 2: `stop` (unknown) '), (2, 0, '## Recommended'))
+UNION ALL SELECT 2, 1, '**Nothing: no paper reaches 7 of 10.**' FROM t HAVING count(*) FILTER (good) = 0 UNION ALL SELECT 4, 0, '## To explore' FROM t HAVING count(*) FILTER (NOT good) > 0
+UNION ALL SELECT 3, CAST(place * 10 + i AS INTEGER), CASE i WHEN 0 THEN '## ' || place || '. [' || score || '/10] ' || title WHEN 1 THEN '**Why**: rank ' || rank WHEN 2 THEN {_READ} ELSE '<' || paper_id || '>' END FROM t, (VALUES (0), (1), (2), (3)) v(i) WHERE good
+UNION ALL SELECT 5, CAST(place * 10 + i AS INTEGER), CASE i WHEN 0 THEN '### E' || place || '. [' || score || '/10] ' || title WHEN 1 THEN '**Why not**: rank ' || rank ELSE '<' || paper_id || '>' END FROM t, (VALUES (0), (1), (2)) v(i) WHERE NOT good"""
