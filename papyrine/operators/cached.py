@@ -31,7 +31,7 @@ def sound(cache: DataFrame, prefix: str = SCORES) -> DataFrame:
 
 
 def score_cached(papers: DataFrame, cache: DataFrame, interest: str, meta: dict[str, str] = SCORER, scorer: Callable[[list[dict]], str] = score_offline) -> tuple[DataFrame, DataFrame]:
-    """papers: paper_id, title, summary, rank (a funnel's rows). Gives paper_id, rank, score, reason, origin and bad; and the entries to add to the cache.
+    """papers: paper_id, title, summary, rank (a funnel's rows, each rank once; a paper may be there twice). Gives paper_id, rank, score, reason, origin and bad; and the entries to add to the cache.
 
     Only misses are batched and scored. Rows of a batch that was amiss are given, but never cached; good batches of the same call are.
     """
@@ -39,8 +39,8 @@ def score_cached(papers: DataFrame, cache: DataFrame, interest: str, meta: dict[
     held = keyed.join(sound(cache).dropDuplicates(["cache_key"]), "cache_key", "left")
     misses = batches(held.where("score IS NULL").drop("score", "reason")).withColumn("abstract", F.col("summary"))
     fresh = checkpointed(score_batches(misses.select("batch", "place", "paper_id", "title", "abstract"), scorer))  # so that the scorer is called once
-    keys = keyed.select("paper_id", "rank", "cache_key")
-    made = keys.join(fresh, "paper_id")
+    keys = misses.select("batch", "place", "rank", "cache_key")
+    made = fresh.join(keys, ["batch", "place"])
     old = held.where("score IS NOT NULL").select("paper_id", "rank", F.col("score").cast("int").alias("score"), "reason", F.lit("cache").alias("origin"), F.lit(False).alias("bad"))
     all_ = old.unionByName(made.select("paper_id", "rank", "score", "reason", F.lit("scorer").alias("origin"), "bad"))
-    return all_, made.where("NOT bad").select("cache_key", "score", "reason")
+    return all_, made.where("NOT bad").select("cache_key", "score", "reason").dropDuplicates(["cache_key"])

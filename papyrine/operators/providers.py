@@ -107,6 +107,6 @@ def score_batches(batched: DataFrame, scorer: Callable[[list[dict]], str] = scor
                 pairs, bad = [FAILED] * len(records), True
             if not bad:
                 break
-        return pd.DataFrame({"paper_id": f.paper_id, "score": [p[0] for p in pairs], "reason": [p[1] for p in pairs], "bad": bad})
+        return pd.DataFrame({"batch": f.batch, "place": f.place, "paper_id": f.paper_id, "score": [p[0] for p in pairs], "reason": [p[1] for p in pairs], "bad": bad})
 
-    return batched.groupBy("batch").applyInPandas(run, "paper_id string, score int, reason string, bad boolean")
+    return batched.groupBy("batch").applyInPandas(run, "batch long, place long, paper_id string, score int, reason string, bad boolean")

@@ -74,3 +74,14 @@ def test_ask(spark):
     assert R.ask("birds", near, say("[1]")) == R.Answer("nothing relevant") and asked[-1][0] == "all"
     with pytest.raises(ValueError, match="no question"):
         R.ask(" ", near, say(""))
+
+
+def test_a_paper_twice_in_a_funnel_doubles_nothing(spark):
+    from papyrine.operators import cached as C
+
+    rows = [("a", "T", "s", 1), ("b", "TT", "s", 2), ("a", "T", "s", 3)]
+    papers = spark.createDataFrame(rows, "paper_id string, title string, summary string, rank long")
+    found, entries = C.score_cached(papers, spark.createDataFrame([], "cache_key string, score long, reason string"), "i")
+    assert sorted((r.paper_id, r["rank"], r.score) for r in found.collect()) == [("a", 1, 1), ("a", 3, 1), ("b", 2, 2)] and entries.count() == 2
+    again, none = C.score_cached(papers, entries, "i")
+    assert {r.origin for r in again.collect()} == {"cache"} and again.count() == 3 and none.count() == 0
