@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from papyrine.llm.common import Kept, drop_shuffles
 
 DEPTH, LEAST, GAIN, ADD = 2, 4, 20.0, 0.1
-PART_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 8 << 20, 4_000_000, 16
-HOT, BITS_A_KEY, BLOOM_BITS = 1 << 17, 8, 1 << 28
+PART_BYTES, BUCKET_TOKENS, LEAST_BUCKETS = 4 << 20, 4_000_000, 16
+HOT, BITS_A_KEY, BLOOM_BITS = 1 << 20, 8, 1 << 28
 #: Occurrences from which a context's followers are dealt out one by one.
 HOT_CONTEXT = BUCKET_TOKENS // 8
 
@@ -62,8 +62,8 @@ def longer(ctx: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
     return _mixed(ctx * _U(0xD1342543DE82EF95) + low + _U(k))
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, a text's end included, and each token's text."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens (ends are the last), each token's place among them, and its text; an end behind each text."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = split.flatten().dictionary_encode()
     at, owner = coded.indices.to_numpy(), pc.list_parent_indices(split).to_numpy()
@@ -72,13 +72,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if b"" in words:
         real = at != words.index(b"")
         at, owner = at[real], owner[real]
-    code = np.empty(len(at) + len(texts), _U)
-    text = np.empty(len(code), np.int32)
-    place = np.arange(len(at)) + owner
-    code[place], text[place] = known[at], owner
-    ends = np.cumsum(np.bincount(owner, minlength=len(texts))) + np.arange(len(texts))
-    code[ends], text[ends] = _END, np.arange(len(texts))
-    return code, text
+    size = np.bincount(owner, minlength=len(texts))
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)
+    word = np.full(len(text), len(known), np.int64)
+    word[np.arange(len(at)) + owner] = at
+    return np.append(known, _END), word, text
 
 
 def parts(batch: pa.RecordBatch, column: str = "text"):
@@ -92,16 +90,33 @@ def parts(batch: pa.RecordBatch, column: str = "text"):
         at = to
 
 
-def grams(code: np.ndarray, text: np.ndarray, most: int):
-    """For each length: hashes of the n-grams that end at each token, and whether they lie in one text."""
-    gram, sound = code, np.ones(len(code), bool)
-    yield gram, sound
-    for k in range(2, most + 1):
-        same = np.zeros(len(code), bool)
-        same[k - 1 :] = text[k - 1 :] == text[: max(0, len(text) - k + 1)]
-        before = np.concatenate([gram[:1], gram[:-1]])
-        gram, sound = longer(before, gram, k), same
-        yield gram, sound
+def distinct(known: np.ndarray, word: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """The distinct n-grams of k tokens: ctx, low, how many of each, and for each that lies in one text its place among them and its text.
+
+    Equal places stand together by ctx. For k of 1 ctx and low are the hash itself.
+    """
+    at = np.arange(k - 1, len(word))
+    at = at[text[at] == text[at - k + 1]] if k > 1 else at
+    bits = max(1, int(len(known)).bit_length())
+    if bits * k <= 62:  # one number names an n-gram here; its parts are looked up again
+        name = word[at - k + 1]
+        for j in range(k - 2, -1, -1):
+            name = name << bits | word[at - j]
+        name, place, n = np.unique(name, return_inverse=True, return_counts=True)
+        parts_ = [known[name >> (bits * j) & ((1 << bits) - 1)] for j in range(k - 1, -1, -1)]
+    else:
+        rows = np.stack([word[at - j] for j in range(k - 1, -1, -1)])
+        order = np.lexsort(rows[::-1])
+        new = np.concatenate([[True], (rows[:, order[1:]] != rows[:, order[:-1]]).any(0)]) if len(order) else np.zeros(0, bool)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = order[new]
+        n = np.bincount(place, minlength=len(first))
+        parts_ = [known[r[first]] for r in rows]
+    level = parts_
+    while len(level) > 2:
+        level = [longer(a, b, k - len(level) + 2) for a, b in zip(level, level[1:], strict=False)]
+    return level[0], level[-1], n, place, text[at]
 
 
 @dataclass
@@ -184,7 +199,9 @@ def word_counts(texts: DataFrame, buckets: int) -> DataFrame:
     def count(batches):
         for batch in batches:
             for part in parts(batch):
-                key, n = np.unique(tokens(part.column("text"))[0], return_counts=True)
+                known, word, _ = tokens(part.column("text"))
+                n = np.bincount(word, minlength=len(known))
+                key, n = known[n > 0], n[n > 0]
                 bucket = bucket_of(key, buckets)
                 by = np.argsort(bucket, kind="stable")
                 lists = _lists(bucket[by], buckets, key=key[by], n=n[by].astype(np.int32))
@@ -209,25 +226,18 @@ def gram_counts(texts: DataFrame, k: int, contexts, twice, hot, buckets: int) ->
         may_lead, may_end, spread = contexts.value, twice.value, hot.value
         for batch in batches:
             for part in parts(batch):
-                code, text = tokens(part.column("text"))
-                *_, (low, _) = grams(code, text, k - 1)
-                at = np.arange(k - 1, len(code))
-                at = at[text[at] == text[at - k + 1]]
-                at = at[may_lead.may_hold(low[at - 1])]
-                at = at[may_end.may_hold(low[at])]
-                ctx, low = low[at - 1], low[at]
-                if not len(at):
+                ctx, low, n, *_ = distinct(*tokens(part.column("text")), k)
+                keep = may_end.may_hold(low)
+                keep[keep] = may_lead.may_hold(ctx[keep])
+                ctx, low, n = ctx[keep], low[keep], n[keep].astype(np.int32)
+                if not len(ctx):
                     continue
                 bucket = bucket_of(np.where(spread.may_hold(ctx), longer(ctx, low, k), ctx), buckets)
-                by = np.lexsort((low, ctx, bucket))
-                bucket, ctx, low = bucket[by], ctx[by], low[by]
+                by = np.argsort(bucket, kind="stable")  # followers of a context stay together
+                bucket, ctx, low, n = bucket[by], ctx[by], low[by], n[by]
                 head = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ctx[1:] != ctx[:-1])]))
-                new = np.concatenate([[True], (low[1:] != low[:-1])])
-                new[head] = True
-                new = np.flatnonzero(new)
-                n = np.diff(np.append(new, len(low))).astype(np.int32)
-                sizes = np.diff(np.append(np.searchsorted(new, head), len(new))).astype(np.int32)
-                lists = _lists(bucket[head], buckets, ctx=ctx[head], sizes=sizes) + _lists(bucket[new], buckets, low=low[new], n=n)
+                sizes = np.diff(np.append(head, len(ctx))).astype(np.int32)
+                lists = _lists(bucket[head], buckets, ctx=ctx[head], sizes=sizes) + _lists(bucket, buckets, low=low, n=n)
                 yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *lists], ["bucket", "ctx", "sizes", "low", "n"])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -274,7 +284,8 @@ def level(counted: DataFrame, shorter: DataFrame, least: int, gain: float, last:
     d = min(1.9, max(0.5, d))
     lam = (F.col("n") - F.col("often") + d * F.col("followers")) / F.col("n")
     contexts = sums.df.select("ctx", "n", lam.alias("lam"))
-    rows = counted.join(contexts, "ctx").join(shorter.select(F.col("key").alias("low"), F.col("p").alias("q")), "low")
+    # the smaller sides are hashed, so that the n-grams are not sorted for either join
+    rows = counted.join(contexts.hint("shuffle_hash"), "ctx").join(shorter.where("c > 1").select(F.col("key").alias("low"), F.col("p").alias("q")).hint("shuffle_hash"), "low")
     own, below = (F.col("c") - d) / F.col("n"), F.col("lam") * F.col("q")
     more = [] if last else [(own + below).alias("p")]
     rows = _kept(rows.select("ctx", "low", "gram", "c", (F.log1p(own / below) / np.log(10)).alias("step"), *more), "grams")
@@ -315,7 +326,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float
             more = rows.join(states.where("NOT keeps").select("ctx"), "ctx", "left_semi").join(below, rows.gram == below.key, "left_semi").select("ctx").distinct()
             states = states.join(more.withColumn("more", F.lit(True)), "ctx", "left").select("ctx", "lam", (F.col("keeps") | F.coalesce("more", F.lit(False))).alias("keeps"))
         kept = states.where("keeps")
-        own = rows.join(kept.select("ctx"), "ctx", "left_semi")
+        own = rows.join(kept.select("ctx").hint("shuffle_hash"), "ctx", "left_semi")
         numbers = numbers.unionByName(own.select(F.col("gram").alias("key"), F.col("step").alias("value"), none, F.col("c").alias("seen")))
         numbers = numbers.unionByName(kept.select(F.col("ctx").alias("key"), F.col("lam").alias("value"), none, F.lit(0).cast("long").alias("seen")))
         below = own.select(F.col("low").alias("key")).distinct()
@@ -350,35 +361,39 @@ def score(docs: DataFrame, model: Model, numbers: DataFrame, depth: int = DEPTH)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in parts(batch):
-                code, text = tokens(part.column("text"))
+                known_, word_, text = tokens(part.column("text"))
                 rows = part.num_rows
                 known, base, total = np.zeros(rows), np.zeros(rows), np.zeros(rows)
-                keys, owners = [], []
-                for k, (gram, sound) in enumerate(grams(code, text, depth + 1)):
-                    gram, row = gram[sound], text[sound]
+                keys, owners, sizes_ = [], [], []
+                for k in range(1, depth + 2):
+                    if k == 1:
+                        gram, place, row = known_, word_, text
+                    else:
+                        ctx, low, _, place, row = distinct(known_, word_, text, k)
+                        gram = longer(ctx, low, k)
+                    # each distinct n-gram is looked up once
                     at, there = local(gram, m)
-                    here = at[there]
-                    total += np.bincount(row[there], m.values[here], rows) if len(here) else 0
-                    if k == 0 and len(here):
-                        known += np.bincount(row[there], m.counts[here] > 0, rows)
-                        base += np.bincount(row[there], m.base(m.counts[here]), rows)
-                    rest = ~there
-                    gram, row = gram[rest], row[rest]
-                    if k:
-                        hit = may.may_hold(gram)
-                        gram, row = gram[hit], row[hit]
-                    keys.append(gram)
-                    owners.append(row)
-                key, row = np.concatenate(keys), np.concatenate(owners).astype(np.int32)
-                word = np.zeros(len(key), bool)
-                word[: len(keys[0])] = True
+                    total += np.bincount(row, np.where(there, m.values[at], 0.0)[place], rows) if len(m.keys) else 0
+                    if k == 1 and len(m.keys):
+                        known += np.bincount(row, (there & (m.counts[at] > 0))[place], rows)
+                        base += np.bincount(row, np.where(there, m.base(np.maximum(m.counts[at], 0)), 0.0)[place], rows)
+                    ask_ = ~there if k == 1 else ~there & may.may_hold(gram)
+                    left = ask_[place]
+                    order = np.argsort(place[left], kind="stable")
+                    owners.append(row[left][order])
+                    n = np.bincount(place[left], minlength=len(gram))
+                    keys.append(gram[n > 0])
+                    sizes_.append(n[n > 0])
+                key, size, row = np.concatenate(keys), np.concatenate(sizes_), np.concatenate(owners).astype(np.int32)
+                start = np.cumsum(size) - size
+                sign = np.ones(len(key), np.int32)
+                sign[len(keys[0]) :] = -1  # longer n-grams are marked by a minus sign
                 bucket = bucket_of(key, buckets)
-                by = np.lexsort((row, key, bucket))
-                bucket, key, row, word = bucket[by], key[by], row[by], word[by]
-                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                sizes = np.diff(np.append(head, len(key))).astype(np.int32)
-                sizes = np.where(word[head], sizes, -sizes).astype(np.int32)  # longer n-grams are marked by a minus sign
-                lists = _lists(bucket[head], buckets, key=key[head], sizes=sizes) + _lists(bucket, buckets, row=row)
+                by = np.argsort(bucket, kind="stable")
+                bucket, key, sizes = bucket[by], key[by], (size * sign)[by].astype(np.int32)
+                size = size[by]
+                row = row[np.repeat(start[by] - (np.cumsum(size) - size), size) + np.arange(len(row))]
+                lists = _lists(bucket, buckets, key=key, sizes=sizes) + _lists(np.repeat(bucket, size), buckets, row=row)
                 numbers_ = pa.array(np.full(buckets, number), pa.int64())
                 nothing = pa.array([None] * buckets, pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), numbers_, *lists, nothing, nothing, nothing, *empty], _NAMES)

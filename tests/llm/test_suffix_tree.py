@@ -133,6 +133,21 @@ def test_edges(spark):
 
 
 def test_tokens():
-    code, text = T.tokens(pa.array(["A b\x0bC", None, "", " a "]))
+    known, word, text = T.tokens(pa.array(["A b\x0bC", None, "", " a "]))
+    code = known[word]
     assert text.tolist() == [0, 0, 0, 0, 1, 2, 3, 3]
     assert code[0] == code[6] and len(np.unique(code)) == 4 and code[3] == code[4] == code[5] == code[7]
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_distinct_either_way(k):
+    """An n-gram's parts may or may not fit one number; both ways give the same, up to order."""
+    rng = np.random.default_rng(k)
+    word, text = rng.integers(0, 4, 300), np.repeat(np.arange(30, dtype=np.int32), 10)
+    small = T._mixed(np.arange(4).astype(np.uint64))
+    large = small if k == 2 else np.concatenate([small, np.zeros(1 << 21, np.uint64)])
+    ctx, low, n, place, row = T.distinct(small, word, text, k)
+    ctx2, low2, n2, place2, row2 = T.distinct(large, word, text, k)
+    assert sorted(zip(ctx.tolist(), low.tolist(), n.tolist(), strict=True)) == sorted(zip(ctx2.tolist(), low2.tolist(), n2.tolist(), strict=True))
+    assert (ctx[place] == ctx2[place2]).all() and (low[place] == low2[place2]).all() and (row == row2).all() and n.sum() == 30 * (11 - k)
+    assert 1 + (ctx[1:] != ctx[:-1]).sum() == len(np.unique(ctx))  # equal contexts stand together
