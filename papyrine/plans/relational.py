@@ -42,7 +42,7 @@ SELECT 'label without paper' AS rule, count(*) AS violations FROM labels l WHERE
 UNION ALL SELECT 'anchor without paper', count(*) FROM (SELECT #text(vec_id)# AS id FROM @embeddings WHERE vec_id % 50 = 7) a WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.paper_id = a.id)
 UNION ALL SELECT 'blank title', count(*) FROM papers WHERE trim(title) = ''""",
     "legacy_scores": f"""WITH {PAPERS}, cache AS (SELECT concat('v1:', #text(vec_id)#) AS cache_key, CAST(vec_id % 11 AS DOUBLE) AS score FROM @embeddings)
-SELECT substring(cache_key, 4) AS paper_id, score FROM cache WHERE substring(cache_key, 4) IN (SELECT paper_id FROM papers)""",
+SELECT substring(cache_key, instr(cache_key, ':') + 1) AS paper_id, score FROM cache WHERE substring(cache_key, instr(cache_key, ':') + 1) IN (SELECT paper_id FROM papers)""",
     "cache_merge": """WITH old AS (SELECT vec_id AS k, vec_id % 11 AS score FROM @embeddings WHERE vec_id < 300),
 new AS (SELECT vec_id AS k, vec_id % 7 AS score FROM @embeddings WHERE vec_id >= 200)
 SELECT coalesce(new.k, old.k) AS vec_id, coalesce(new.score, old.score) AS score FROM old FULL OUTER JOIN new ON old.k = new.k""",

@@ -13,6 +13,7 @@ from papyrine.functions import strict as J
 from papyrine.functions import text as T
 from papyrine.operators import feedback as B
 from papyrine.operators import incremental as I
+from papyrine.operators import labelling
 from papyrine.operators import metrics as M
 from papyrine.operators import providers as P
 from papyrine.operators import report
@@ -305,3 +306,37 @@ UNION ALL SELECT * FROM (VALUES (1, 0, '> Stopped: enough'), (1, 1, '## Trace'),
 UNION ALL SELECT 2, 1, '**Nothing: no paper reaches 7 of 10.**' FROM t HAVING count(*) FILTER (good) = 0 UNION ALL SELECT 4, 0, '## To explore' FROM t HAVING count(*) FILTER (NOT good) > 0
 UNION ALL SELECT 3, CAST(place * 10 + i AS INTEGER), CASE i WHEN 0 THEN '## ' || place || '. [' || score || '/10] ' || title WHEN 1 THEN '**Why**: rank ' || rank WHEN 2 THEN {_READ} ELSE '<' || paper_id || '>' END FROM t, (VALUES (0), (1), (2), (3)) v(i) WHERE good
 UNION ALL SELECT 5, CAST(place * 10 + i AS INTEGER), CASE i WHEN 0 THEN '### E' || place || '. [' || score || '/10] ' || title WHEN 1 THEN '**Why not**: rank ' || rank ELSE '<' || paper_id || '>' END FROM t, (VALUES (0), (1), (2)) v(i) WHERE NOT good"""
+
+
+# -- labels by row, counts of a snapshot --------------------------------------------------------------
+def _judgments(spark, d):
+    """The documents as shown, and a judgment of each event: some of rows that there are not, some with labels that there are not."""
+    shown = papers(spark, d).select("paper_id", (F.col("pos") + 1).alias("row_no"))
+    label = F.when(F.col("event_type") == "click", "rel").when(F.col("event_type") == "view", "irrel").when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("event_type"))
+    asked = table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") * 9 - 3).alias("row_no"), label.alias("label"))
+    return labelling.judged_rows(shown, asked)
+
+
+def label_rows(spark, d):
+    return labelling.applied(labels(spark, d), _judgments(spark, d)[0])
+
+
+def label_refused(spark, d):
+    return _judgments(spark, d)[1]
+
+
+def snapshot_totals(spark, d):
+    """Records by label and split, with pairs that there are none of."""
+    pairs = [(a, b) for a in ("rel", "irrel", "unjudged") for b in ("anchor", "dev", "test", "unjudged")]
+    found = E.snap(spark, d).groupBy(F.coalesce("label", F.lit("unjudged")).alias("label"), "split").agg(F.count("*").alias("n"))
+    return spark.createDataFrame(pairs, "label string, split string").join(found, ["label", "split"], "left").select("label", "split", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (label_rows, label_refused, snapshot_totals)}
+_ASKED = f"WITH {R.PAPERS}, {E.L}, a AS (SELECT event_id AS seq, user_id * 9 - 3 AS row_no, CASE event_type WHEN 'click' THEN 'rel' WHEN 'view' THEN 'irrel' WHEN 'error' THEN NULL ELSE event_type END AS label FROM events)"
+SQL |= {
+    "label_rows": f"""{_ASKED}, t AS (SELECT paper_id, arg_max(a.label, seq) AS label FROM a JOIN papers ON pos + 1 = row_no WHERE a.label IN ('rel', 'irrel') GROUP BY paper_id)
+SELECT coalesce(l.paper_id, t.paper_id) AS paper_id, coalesce(t.label, l.label) AS label FROM lab l FULL JOIN t ON l.paper_id = t.paper_id""",
+    "label_refused": f"{_ASKED} SELECT seq, CASE WHEN label IS NULL OR label NOT IN ('rel', 'irrel') THEN 'no such label' ELSE 'no such row' END AS reason FROM a WHERE label IS NULL OR label NOT IN ('rel', 'irrel') OR row_no - 1 NOT IN (SELECT pos FROM papers)",
+    "snapshot_totals": f"{E.SNAP}, g AS (SELECT a AS label, b AS split FROM (VALUES ('rel'), ('irrel'), ('unjudged')) x(a), (VALUES ('anchor'), ('dev'), ('test'), ('unjudged')) y(b)) SELECT g.label, g.split, count(s.id) AS n FROM g LEFT JOIN snap s ON coalesce(s.label, 'unjudged') = g.label AND s.split = g.split GROUP BY ALL",
+}
