@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parqu
 next one's docs. All but the last return the columns of documents. Rows that a stage keeps are whole and
 unchanged; mixing repeats rows. Labels are read from sf_dir, and only those of documents that the stage
 is given can be learnt from.
+
+An empty table gives an empty result, and a stage may reject all rows. A null text is empty: the rules reject it. Rows with a
+null id go through the rules and toxicity like others, are never learnt from, and all stay at the near copies, where one row of each
+component that has an id stays; mixing repeats them like others. Repeated rows of an id and text are copies, of which one stays.
+A null source is a source of its own. Other columns, and their names, are kept up to packing, which returns its own. Very long texts go whole.
 """
 
 from __future__ import annotations

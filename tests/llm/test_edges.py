@@ -104,3 +104,19 @@ def test_chat(spark):
     assert said == [(None, "", "")] + [(1, r[2], r[3] or "") for r in (*rows[:5], rows[6])]
     assert "".join(x for r in got for x in r.loss) == "x" * 9000 + "[/INST]<|end|>" * 2
     assert chat_format.format_windows(turns.where("false")).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    """No rows, and rows with null ids and sources, repeated and of one id with two texts, through all stages."""
+    import corpus_pipeline
+
+    text = lambda s: " ".join(f"{s} and the {w} of it goes on to say something else about {s}{w}." for w in "abcdefghijklmnopqrst")
+    rows = [(1, text("x"), "a"), (1, text("x"), "a"), (1, text("y"), "a"), (None, text("z"), None), (None, text("x"), "b"), (2, text("x") + " more", "b"), (3, None, None), (4, "", "b")]
+    for name, held in (("none", []), ("some", rows)):
+        d = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(held, "doc_id long, text string, source string").select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
+        docs.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        found = corpus_pipeline.run(spark, d).collect()
+        assert bool(found) == bool(held) and all(r.length <= 2048 for r in found)
+        assert not {r.doc_id for r in found} & {2, 3, 4}
