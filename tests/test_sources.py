@@ -204,6 +204,19 @@ def test_owners_of_bare_anchors(spark):
     assert sorted((r.anchor, r.paper_id) for r in found.collect()) == [("About cats. An older abstract", "1"), ("Dogs", "3"), ("On cats", "1"), ("On cats. Part two. y", "1"), ("On cats. Part two. y", "2"), ("On cats. They purr. A lot", "1")]
 
 
+def test_owners_in_a_crowd(spark, monkeypatch):
+    """A title of many papers, a text of thousands of sentences, a paper whose titles begin one another: each pair once, and no text of an anchor in the plan's shuffles."""
+    monkeypatch.setattr(B, "TITLE_PART", 7)
+    long = ". ".join(["On cats"] + [f"part {i}" for i in range(3000)])
+    papers = spark.createDataFrame([(str(i), "On cats", "x") for i in range(50)] + [("50", "On cats", "y"), ("50", "On cats. part 0", None), ("51", "Dogs", "y"), ("52", None, "y")], "paper_id string, title string, summary string")
+    asked = spark.createDataFrame([(a,) for a in (long, long, "On cats", "On cats. x", "Dogs. y", None)], "anchor string")
+    found = B.owners(asked, papers)
+    want = sorted((a, str(i)) for a in (long, "On cats", "On cats. x") for i in range(51)) + [("Dogs. y", "51")]
+    assert sorted((r.anchor, r.paper_id) for r in found.collect()) == sorted(want)
+    digests = B.owner_digests(asked, papers)
+    assert digests.count() == len(want) and digests.columns == ["digest", "paper_id"]
+
+
 def test_bonus(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [3.0, 4.0])], "vec_id long, embedding array<double>")
     anchors = lambda *r: spark.createDataFrame(list(r), "sign int, embedding array<double>")
