@@ -197,6 +197,28 @@ def test_votes(spark, tmp_path):
         f.record(df(vote(10, "x", "maybe", 1)), 3)
 
 
+def test_votes_name_their_texts(spark, tmp_path):
+    """Log and state hold digests, a text is written once, and a batch that broke off behind its texts is done again."""
+    f = B.Feedback(spark, f"file://{tmp_path}/f")
+    text = "word " * 1000
+    texts = spark.createDataFrame([("X", text), ("Y", None)], "title string, summary string")
+    texts = texts.select(B.text_key(F.col("title"), F.col("summary")).alias("text"), "title", "summary")
+    key = {r.title: r.text for r in texts.collect()}
+    df = lambda a, b: spark.createDataFrame([(n, "xy"[n % 2], key["XY"[n % 2]], "up", DAY + timedelta(hours=n)) for n in range(a, b)], B.LEAN)
+    f.record(df(0, 300), 0, texts)
+    f.record(df(300, 600), 1, texts)
+    f.record(df(0, 300), 1, texts)
+    assert f.votes.read().count() == 600 and f.texts().count() == 2 and f.files.folders("texts") == ["batch-0"]
+    assert {c for t in (f.votes, f.newest) for c in t.read().columns}.isdisjoint({"title", "summary", "anchor"})
+    assert sorted((r.paper_id, r.anchor, r.event_id) for r in f.state.read().collect()) == [("x", f"X. {text}", 598), ("y", "Y", 599)]
+    assert sorted((r.sign, r.anchor, r.papers) for r in f.anchors().collect()) == [(1, f"X. {text}", 1), (1, "Y", 1)]
+    assert f.log.read().where(F.col("summary") == text).count() == 300
+    texts.limit(0).withColumn("anchor_digest", F.lit("")).write.parquet(f"file://{tmp_path}/f/texts/batch-2")  # broke off while its texts were written
+    new = spark.createDataFrame([("Z", "z")], "title string, summary string").select(B.text_key(F.col("title"), F.col("summary")).alias("text"), "title", "summary")
+    f.record(spark.createDataFrame([(900, "z", new.first().text, "down", DAY)], B.LEAN), 2, new)
+    assert f.state.read().count() == 3 and f.texts().count() == 3
+
+
 def test_owners_of_bare_anchors(spark):
     papers = spark.createDataFrame([("1", "On cats", "They purr. A lot"), ("1", "About cats", ""), ("2", "On cats. Part two", "x"), ("3", "Dogs", None)], "paper_id string, title string, summary string")
     asked = ["On cats", "On cats. They purr. A lot", "About cats. An older abstract", "On cats. Part two. y", "Dogs", "Dogsled", "On cats.", ""]
