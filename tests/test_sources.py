@@ -51,6 +51,28 @@ def test_window_reaches_the_pages(spark, events):
     assert paged.fetch(spark, events).select("category").distinct().count() == 2
 
 
+def test_a_large_row_group_is_not_read_for_each_page(tmp_path, monkeypatch):
+    """Pages of a row group share a partition beyond a number, a task holds slices and not the row group, and bounds come from the file's own figures."""
+    n = 20_000
+    at = pa.array([DAY + timedelta(seconds=s * 7 % n) for s in range(n)], pa.timestamp("us"))
+    t = pa.table({"event_id": list(range(n)), "ts": at, "category": ["ab"[i % 2] for i in range(n)]})
+    monkeypatch.setattr(paged, "SLICE_ROWS", 700)
+    for name, stats in (("known", True), ("unknown", False)):
+        path = f"{tmp_path}/{name}.parquet"
+        pq.write_table(t, path, row_group_size=12_000, write_statistics=stats)
+        client = paged.TableClient({"path": path, "page_rows": "10", "columns": '["event_id"]'})
+        pages = client.pages(paged.Asked())
+        assert len(pages) <= paged.MOST_PARTITIONS + 1 and sum(p[3] for p in pages) == n
+        asked = paged.Asked(paged.micros(DAY + timedelta(seconds=100)), paged.micros(DAY + timedelta(seconds=15_000)), ("a",))
+        found = [b for p in pages for b in client.rows(asked, p)]
+        assert max(b.num_rows for b in found) <= 700 and {tuple(b.schema.names) for b in found} == {("event_id",)}
+        want = [i for i in range(n) if i % 2 == 0 and 100 <= i * 7 % n <= 15_000]
+        assert [i for b in found for i in b.column(0).to_pylist()] == want
+        assert client.bounds() == (paged.micros(DAY), paged.micros(DAY + timedelta(seconds=n - 1)))
+    pq.write_table(t.slice(0, 0), f"{tmp_path}/none.parquet")
+    assert paged.TableClient({"path": f"{tmp_path}/none.parquet"}).bounds() is None
+
+
 def test_filters_are_pushed_down(spark, events):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
