@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import cut, scratch
+from papyrine.llm.common import cut, drop_shuffles, scratch
 
 MINUTE = 60_000_000
 
@@ -68,12 +68,12 @@ def taken(clicks: DataFrame, rule: Rule) -> DataFrame:
         F.coalesce((F.col("kind") == rule.final_kind) & ~F.isnan(value) & (value >= rule.final_value), F.lit(False)).alias("final"),
         F.coalesce(F.when(fits, cents).otherwise(0), F.lit(0)).cast("long").alias("cents"),
     )
-    names = ["client_id", "at", "arrived", "final", "cents"]
-    # by a number and not by a struct of the row, so that a hash aggregate can do it
-    held = held.withColumn("h", F.xxhash64(*names))
-    one = held.groupBy("click_id").agg(*[F.min_by(c, "h").alias(c) for c in names])
+    # by a number and not by a struct of the row, so that a hash aggregate can do it; both flags in one number
     late = F.coalesce(F.col("arrived") - F.col("at") > rule.late, F.lit(False))
-    return one.select("client_id", "at", "click_id", late.alias("late"), "final", "cents", F.floor(F.col("at") / rule.gap).cast("long").alias("slot"))
+    flags = late.cast("int") * 2 + F.col("final").cast("int")
+    held = held.withColumns({"h": F.xxhash64("client_id", "at", "arrived", "final", "cents"), "flags": flags})
+    one = held.groupBy("click_id").agg(*[F.min_by(c, "h").alias(c) for c in ("client_id", "at", "flags", "cents")])
+    return one.select("client_id", "at", "click_id", (F.col("flags") >= 2).alias("late"), (F.col("flags") % 2 == 1).alias("final"), "cents", F.floor(F.col("at") / rule.gap).cast("long").alias("slot"))
 
 
 def _before(slots: DataFrame, day: Column, last: str, first: str | None = None) -> DataFrame:
@@ -92,7 +92,9 @@ def _before(slots: DataFrame, day: Column, last: str, first: str | None = None)
 def islands(clicks: DataFrame, rule: Rule) -> DataFrame:
     """Clicks summed up by slot and hard island, as far as the island begins in the slot; others (loose) one by one, with the island yet unknown."""
     day = F.floor(F.col("slot") / rule.slots_a_day)
-    timely = F.when(~F.col("late"), F.struct("at", "click_id", "final"))
+    # both uses of the clicks have all columns, so that they are dealt by slot once
+    clicks = clicks.repartition("client_id", "slot")
+    timely = F.when(~F.col("late"), F.struct("at", "click_id", "final", "cents"))
     slots = clicks.groupBy("client_id", "slot").agg(F.max(timely).alias("last"), F.min(timely).alias("first"))
     # a row a slot is hashed, so that clicks are sorted once, by the windows
     rows = clicks.join(_before(slots, day, "last", "first").hint("shuffle_hash"), ["client_id", "slot"])
@@ -143,10 +145,9 @@ def length_cuts(marks: DataFrame, rule: Rule) -> DataFrame | None:
 def sessions(clicks: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """clicks: click_id, ts, arrived_at, client_id, kind, value. A row a session."""
     spark = clicks.sparkSession
-    kept = scratch(spark, "clicks")
-    taken(clicks, rule).write.parquet(kept)
     path = scratch(spark, "islands")
-    islands(spark.read.parquet(kept), rule).write.parquet(path)
+    islands(taken(clicks, rule), rule).write.parquet(path)
+    drop_shuffles(spark)
     parts = spark.read.parquet(path)
 
     # islands that went on into a slot: the last break in a slot before
@@ -154,6 +155,7 @@ def sessions(clicks: DataFrame, rule: Rule = Rule()) -> DataFrame:
     day = F.floor(F.col("slot") / rule.slots_a_day)
     loose = parts.where("loose IS NOT NULL").drop("island").join(_before(starts, day, "last"), ["client_id", "slot"]).withColumnRenamed("before", "island")
     loose = cut(loose.where("island IS NOT NULL"))
+    drop_shuffles(spark)
     over = F.col("place.at") > F.col("island.at") + rule.length
     marks = loose.where(over & (F.col("n_clicks") > 0)).select("island", F.col("place.at").alias("at"), F.col("place.click_id").alias("click_id"), "slot")
     first = parts.where("loose IS NULL").unionByName(loose.where(~over)).withColumn("session", F.col("island"))
@@ -161,6 +163,7 @@ def sessions(clicks: DataFrame, rule: Rule = Rule()) -> DataFrame:
     every = first.select(*fields)
     if not marks.isEmpty():
         cuts = length_cuts(cut(marks), rule)
+        drop_shuffles(spark)
         # two cuts of an island are over `length` apart, so a stretch of that length has one of its own at most
         stretch = F.floor(F.col("at") / rule.length)
         near = cuts.select("island", F.struct("at", "click_id").alias("cut"), stretch.alias("own"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))

@@ -105,3 +105,12 @@ def test_times_do_not_hang_on_the_session_zone(spark, zone):
         assert got(spark, rows)[0][2] == us(rows[0][1])
     finally:
         spark.conf.set("spark.sql.session.timeZone", held)
+
+
+def test_clicks_are_dealt_by_slot_once(spark):
+    """The slots' ends and the windows read one exchange of the clicks."""
+    rows = [(i, DAY + timedelta(minutes=i), None, i % 3, "view", 1.0) for i in range(60)]
+    found = S.islands(S.taken(spark.createDataFrame(rows, SCHEMA), S.Rule()), S.Rule())
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "REPARTITION_BY_COL" in plan and plan.count("ReusedExchange") >= 2
