@@ -14,7 +14,7 @@ from papyrine.operators import feedback as B
 from papyrine.operators import incremental as I
 from papyrine.sources import paged
 from papyrine.sources.keyed import KeyedTable
-from papyrine.streaming.rounds import SINKS, Rounds, follow
+from papyrine.streaming.rounds import SINKS, Rounds, first_each, follow
 
 DAY = datetime(2024, 3, 1)
 
@@ -190,6 +190,16 @@ def test_a_round_that_broke_off_is_done_again(spark, tmp_path, events, whole, si
     assert outcome(Rounds(spark, path, ROWS, "key", "ts", ("event_id",))) == whole
 
 
+def test_a_round_shuffles_a_row_a_key_and_task(spark):
+    """First by time, null first, then by id; whole batches are not dealt and sorted for it."""
+    at = lambda i: DAY + timedelta(hours=i)
+    batch = spark.createDataFrame([("a", 2, at(1)), ("a", 1, at(1)), ("a", 0, at(2)), ("b", 5, at(0)), ("b", 6, None), (" ", 1, at(0)), (None, 1, at(0))], ROWS)
+    one = first_each(batch, "key", "ts", "event_id")
+    assert sorted(map(tuple, one.collect())) == [("a", 1, at(1)), ("b", 6, None)] and one.schema == ROWS
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_min_by" in plan.split("Exchange")[-1]
+
+
 def test_cursor_that_cannot_be_read(spark, tmp_path):
     rounds = Rounds(spark, f"file://{tmp_path}/c", ROWS, "key", "ts")
     assert rounds.cursor() == (-1, None)
