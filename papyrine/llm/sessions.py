@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import cut, drop_shuffles, scratch
+from papyrine.llm.common import Kept, cut, drop_shuffles, scratch
 
 MINUTE = 60_000_000
 
@@ -91,9 +91,9 @@ def _before(slots: DataFrame, day: Column, last: str, first: str | None = None)
 
 def islands(clicks: DataFrame, rule: Rule) -> DataFrame:
     """Clicks summed up by slot and hard island, as far as the island begins in the slot; others (loose) one by one, with the island yet unknown."""
-    day = F.floor(F.col("slot") / rule.slots_a_day)
-    # both uses of the clicks have all columns, so that they are dealt by slot once
-    clicks = clicks.repartition("client_id", "slot")
+    day = F.coalesce(F.floor(F.col("slot") / rule.slots_a_day), F.lit(0))
+    # all uses of the clicks have all columns, and keys that cannot be null, as joins would else filter each use in its own way; so they are dealt by slot once
+    clicks = clicks.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("client_id", "slot")}).repartition("client_id", "slot")
     timely = F.when(~F.col("late"), F.struct("at", "click_id", "final", "cents"))
     slots = clicks.groupBy("client_id", "slot").agg(F.max(timely).alias("last"), F.min(timely).alias("first"))
     # a row a slot is hashed, so that clicks are sorted once, by the windows
@@ -145,8 +145,11 @@ def length_cuts(marks: DataFrame, rule: Rule) -> DataFrame | None:
 def sessions(clicks: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """clicks: click_id, ts, arrived_at, client_id, kind, value. A row a session."""
     spark = clicks.sparkSession
+    once = Kept(taken(clicks, rule), "clicks")  # smaller than the shuffle it comes from, which may go
+    drop_shuffles(spark)
     path = scratch(spark, "islands")
-    islands(taken(clicks, rule), rule).write.parquet(path)
+    islands(once.df, rule).write.parquet(path)
+    once.drop()
     drop_shuffles(spark)
     parts = spark.read.parquet(path)
 

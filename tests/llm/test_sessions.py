@@ -114,3 +114,14 @@ def test_clicks_are_dealt_by_slot_once(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "REPARTITION_BY_COL" in plan and plan.count("ReusedExchange") >= 2
+
+
+def test_no_use_of_the_clicks_deals_them_again(spark, tmp_path):
+    """From the clicks as they are kept: one exchange by slot runs, the slots' other two uses read it."""
+    rows = [(i, DAY + timedelta(minutes=i), None, i % 3, "view", 1.0) for i in range(60)]
+    S.taken(spark.createDataFrame(rows, SCHEMA), S.Rule()).write.parquet(f"{tmp_path}/clicks")
+    found = S.islands(spark.read.parquet(f"{tmp_path}/clicks"), S.Rule())
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_COL" in x]
+    assert sum("ReusedExchange" not in x for x in dealt) == 1 and len(dealt) == 3
