@@ -90,10 +90,10 @@ def parts(batch: pa.RecordBatch, column: str = "text"):
         at = to
 
 
-def distinct(known: np.ndarray, word: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
-    """The distinct n-grams of k tokens: ctx, low, how many of each, and for each that lies in one text its place among them and its text.
+def distinct(known: np.ndarray, word: np.ndarray, text: np.ndarray, k: int, owners: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The distinct n-grams of k tokens: ctx, low, how many of each, and, if asked for, for each that lies in one text its place among them and its text, by place.
 
-    Equal places stand together by ctx. For k of 1 ctx and low are the hash itself.
+    Equal places stand together by ctx. For k of 1 ctx and low are the hash itself. Without owners the names alone are sorted, which is much cheaper than an order of them.
     """
     at = np.arange(k - 1, len(word))
     at = at[text[at] == text[at - k + 1]] if k > 1 else at
@@ -102,21 +102,22 @@ def distinct(known: np.ndarray, word: np.ndarray, text: np.ndarray, k: int) -> t
         name = word[at - k + 1]
         for j in range(k - 2, -1, -1):
             name = name << bits | word[at - j]
-        name, place, n = np.unique(name, return_inverse=True, return_counts=True)
+        order = np.argsort(name, kind="stable") if owners else None
+        name = name[order] if owners else np.sort(name)
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(name)))
+        name = name[first]
         parts_ = [known[name >> (bits * j) & ((1 << bits) - 1)] for j in range(k - 1, -1, -1)]
     else:
         rows = np.stack([word[at - j] for j in range(k - 1, -1, -1)])
         order = np.lexsort(rows[::-1])
-        new = np.concatenate([[True], (rows[:, order[1:]] != rows[:, order[:-1]]).any(0)]) if len(order) else np.zeros(0, bool)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        first = order[new]
-        n = np.bincount(place, minlength=len(first))
-        parts_ = [known[r[first]] for r in rows]
+        first = np.flatnonzero(np.concatenate([[True], (rows[:, order[1:]] != rows[:, order[:-1]]).any(0)])) if len(order) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(order)))
+        parts_ = [known[r[order[first]]] for r in rows]
     level = parts_
     while len(level) > 2:
         level = [longer(a, b, k - len(level) + 2) for a, b in zip(level, level[1:], strict=False)]
-    return level[0], level[-1], n, place, text[at]
+    return level[0], level[-1], n, *((np.repeat(np.arange(len(n)), n), text[at[order]]) if owners else (None, None))
 
 
 @dataclass
@@ -226,7 +227,7 @@ def gram_counts(texts: DataFrame, k: int, contexts, twice, hot, buckets: int) ->
         may_lead, may_end, spread = contexts.value, twice.value, hot.value
         for batch in batches:
             for part in parts(batch):
-                ctx, low, n, *_ = distinct(*tokens(part.column("text")), k)
+                ctx, low, n, *_ = distinct(*tokens(part.column("text")), k, owners=False)
                 keep = may_end.may_hold(low)
                 keep[keep] = may_lead.may_hold(ctx[keep])
                 ctx, low, n = ctx[keep], low[keep], n[keep].astype(np.int32)
@@ -242,12 +243,15 @@ def gram_counts(texts: DataFrame, k: int, contexts, twice, hot, buckets: int) ->
 
     def merge(table: pa.Table) -> pa.Table:
         ctx, low = np.repeat(_flat(table, "ctx"), _flat(table, "sizes")), _flat(table, "low")
-        by = np.lexsort((low, ctx))
-        ctx, low, n = ctx[by], low[by], _flat(table, "n")[by].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (low[1:] != low[:-1])]))
-        c = np.add.reduceat(n, first)
-        ctx, low, c = ctx[first][c > 1], low[first][c > 1], c[c > 1]
-        return pa.table([pa.array(x) for x in (ctx, low, longer(ctx.view(_U), low.view(_U), k).view(np.int64), c)], ["ctx", "low", "gram", "c"])
+        gram = longer(ctx.view(_U), low.view(_U), k)
+        by = np.argsort(gram)
+        gram = gram[by]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        c = np.add.reduceat(_flat(table, "n")[by], first, dtype=np.int64)
+        at = by[first[c > 1]]
+        ctx, low, gram, c = ctx[at], low[at], gram[first[c > 1]].view(np.int64), c[c > 1]
+        by = np.argsort(ctx)  # a context's name is stored once with its followers
+        return pa.table([pa.array(x[by]) for x in (ctx, low, gram, c)], ["ctx", "low", "gram", "c"])
 
     packed = texts.select("text").mapInArrow(count, "bucket int, ctx array<long>, sizes array<int>, low array<long>, n array<int>").where("size(low) > 0")
     return packed.groupBy("bucket").applyInArrow(merge, "ctx long, low long, gram long, c long")
@@ -296,6 +300,15 @@ def level(counted: DataFrame, shorter: DataFrame, least: int, gain: float, last:
     return rows, states
 
 
+def _with(own: DataFrame, states: Kept | None) -> DataFrame:
+    """own: key, value, c, seen; with what the states of the same keys add. A state without a number of its own gets one."""
+    if states is None:
+        return own
+    none = F.lit(None).cast("long")
+    both = own.unionByName(states.df.select("key", "value", none.alias("c"), F.lit(0).cast("long").alias("seen")))
+    return both.groupBy("key").agg(F.sum("value").alias("value"), F.max("c").alias("c"), F.max("seen").alias("seen"))
+
+
 def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> tuple[Model, DataFrame]:
     """texts: text. The model's sizes and hot numbers, and the numbers of all n-grams: key, value and c (of words; else null)."""
     spark = texts.sparkSession
@@ -318,21 +331,28 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float
         levels.append(level(counted.df, shorter, least, gain, k == depth + 1))
         counted.drop()
         shorter = levels[-1][0].df.select(F.col("gram").alias("key"), "c", "p") if k <= depth else None
-    numbers = words.df.select("key", F.log10(root).alias("value"), "c", F.col("c").alias("seen"))
     none = F.lit(None).cast("long").alias("c")
-    below = None  # n-grams whose contexts are suffixes of retained ones
-    for rows, states in ((r.df, s.df) for r, s in reversed(levels)):
+    stored, below, leads = [], None, None  # below: n-grams whose contexts are suffixes of retained ones; leads: numbers of the states that are n-grams of this length
+    # from the longest n-grams on, so that a level's tables are dropped before the next one is dealt out
+    for rows, states in reversed(levels):
+        kept = states.df
         if below is not None:
-            more = rows.join(states.where("NOT keeps").select("ctx"), "ctx", "left_semi").join(below, rows.gram == below.key, "left_semi").select("ctx").distinct()
-            states = states.join(more.withColumn("more", F.lit(True)), "ctx", "left").select("ctx", "lam", (F.col("keeps") | F.coalesce("more", F.lit(False))).alias("keeps"))
-        kept = states.where("keeps")
-        own = rows.join(kept.select("ctx").hint("shuffle_hash"), "ctx", "left_semi")
-        numbers = numbers.unionByName(own.select(F.col("gram").alias("key"), F.col("step").alias("value"), none, F.col("c").alias("seen")))
-        numbers = numbers.unionByName(kept.select(F.col("ctx").alias("key"), F.col("lam").alias("value"), none, F.lit(0).cast("long").alias("seen")))
-        below = own.select(F.col("low").alias("key")).distinct()
-    numbers = _kept(numbers.groupBy("key").agg(F.sum("value").alias("value"), F.max("c").alias("c"), F.max("seen").alias("seen")), "numbers").df
-    for made in (words, *[x for pair in levels for x in pair]):
-        made.drop()
+            more = rows.df.join(kept.where("NOT keeps").select("ctx"), "ctx", "left_semi").join(below.df.select(F.col("key").alias("gram")), "gram", "left_semi").select("ctx").distinct()
+            kept = kept.join(more.withColumn("more", F.lit(True)), "ctx", "left").select("ctx", "lam", (F.col("keeps") | F.coalesce("more", F.lit(False))).alias("keeps"))
+        kept = _kept(kept.where("keeps").select(F.col("ctx").alias("key"), F.col("lam").alias("value")), "kept")
+        own = rows.df.join(kept.df.select(F.col("key").alias("ctx")).hint("shuffle_hash"), "ctx", "left_semi")
+        suffixes = _kept(own.select(F.col("low").alias("key")).distinct(), "below") if len(stored) + 1 < len(levels) else None
+        own = own.select(F.col("gram").alias("key"), F.col("step").alias("value"), none, F.col("c").alias("seen"))
+        stored.append(_kept(_with(own, leads), "numbers"))
+        for made in (rows, states, below, leads):
+            if made is not None:
+                made.drop()
+        below, leads = suffixes, kept
+    stored.append(_kept(_with(words.df.select("key", F.log10(root).alias("value"), "c", F.col("c").alias("seen")), leads), "numbers"))
+    for made in (words, leads):
+        if made is not None:
+            made.drop()
+    numbers = spark.read.parquet(*[x.path for x in stored])
     top = frequent(numbers, "seen").select("key", "value", F.coalesce("c", F.lit(-1)).alias("c")).toArrow()
     keys, values, counts = (top.column(c).to_numpy() for c in ("key", "value", "c"))
     by = np.argsort(keys.view(_U))
@@ -366,24 +386,29 @@ def score(docs: DataFrame, model: Model, numbers: DataFrame, depth: int = DEPTH)
                 known, base, total = np.zeros(rows), np.zeros(rows), np.zeros(rows)
                 keys, owners, sizes_ = [], [], []
                 for k in range(1, depth + 2):
+                    # each distinct n-gram is looked up once; what is found goes to its texts
                     if k == 1:
-                        gram, place, row = known_, word_, text
+                        at, there = local(known_, m)
+                        if len(m.keys):
+                            total += np.bincount(text, np.where(there, m.values[at], 0.0)[word_], rows)
+                            known += np.bincount(text, (there & (m.counts[at] > 0))[word_], rows)
+                            base += np.bincount(text, np.where(there, m.base(np.maximum(m.counts[at], 0)), 0.0)[word_], rows)
+                        left = np.flatnonzero(~there[word_])
+                        gram, n, row = known_, np.bincount(word_[left], minlength=len(known_)), text[left[np.argsort(word_[left])]]
+                        gram, n = gram[n > 0], n[n > 0]
                     else:
-                        ctx, low, _, place, row = distinct(known_, word_, text, k)
+                        ctx, low, n, _, row = distinct(known_, word_, text, k)
                         gram = longer(ctx, low, k)
-                    # each distinct n-gram is looked up once
-                    at, there = local(gram, m)
-                    total += np.bincount(row, np.where(there, m.values[at], 0.0)[place], rows) if len(m.keys) else 0
-                    if k == 1 and len(m.keys):
-                        known += np.bincount(row, (there & (m.counts[at] > 0))[place], rows)
-                        base += np.bincount(row, np.where(there, m.base(np.maximum(m.counts[at], 0)), 0.0)[place], rows)
-                    ask_ = ~there if k == 1 else ~there & may.may_hold(gram)
-                    left = ask_[place]
-                    order = np.argsort(place[left], kind="stable")
-                    owners.append(row[left][order])
-                    n = np.bincount(place[left], minlength=len(gram))
-                    keys.append(gram[n > 0])
-                    sizes_.append(n[n > 0])
+                        # the filter knows the hot ones, too, and is the cheaper test
+                        may_be = may.may_hold(gram)
+                        row, gram, n = row[np.repeat(may_be, n)], gram[may_be], n[may_be]
+                        at, there = local(gram, m)
+                        if len(m.keys):
+                            total += np.bincount(row, np.repeat(np.where(there, m.values[at], 0.0), n), rows)
+                        row, gram, n = row[np.repeat(~there, n)], gram[~there], n[~there]
+                    owners.append(row)
+                    keys.append(gram)
+                    sizes_.append(n)
                 key, size, row = np.concatenate(keys), np.concatenate(sizes_), np.concatenate(owners).astype(np.int32)
                 start = np.cumsum(size) - size
                 sign = np.ones(len(key), np.int32)

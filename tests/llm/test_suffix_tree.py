@@ -1,6 +1,7 @@
 """The suffix tree against dictionaries of tuples, and what a probability must be."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -151,3 +152,21 @@ def test_distinct_either_way(k):
     assert sorted(zip(ctx.tolist(), low.tolist(), n.tolist(), strict=True)) == sorted(zip(ctx2.tolist(), low2.tolist(), n2.tolist(), strict=True))
     assert (ctx[place] == ctx2[place2]).all() and (low[place] == low2[place2]).all() and (row == row2).all() and n.sum() == 30 * (11 - k)
     assert 1 + (ctx[1:] != ctx[:-1]).sum() == len(np.unique(ctx))  # equal contexts stand together
+
+
+def test_levels_are_put_together_one_by_one(spark, monkeypatch):
+    """A level's tables are gone when the next one's numbers are written, and no key has two numbers."""
+    docs = spark.createDataFrame([(f"a b c d e {'x y z' if i % 3 else 'x y w'} a b c",) for i in range(200)], "text string")
+    made, seen = [], []
+    real = T._kept
+
+    def kept(df, name):
+        made.append((name, real(df, name)))
+        if name == "numbers":
+            seen.append(sum(n == "grams" and os.path.isdir(k.path.removeprefix("file://")) for n, k in made))
+        return made[-1][1]
+
+    monkeypatch.setattr(T, "_kept", kept)
+    _, numbers = T.learn(docs, gain=0.1)
+    assert seen == [2, 1, 0]
+    assert numbers.count() == numbers.select("key").distinct().count() > 10
