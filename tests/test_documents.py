@@ -171,3 +171,19 @@ def test_strict_json(spark):
     choices = {'{"action":"stop","why":""}': True, '{"action":"widen","why":"x","new_categories":[]}': True, '{"action":"widen","why":"x","new_categories":[null]}': False, '{"action":"widen","why":"x"}': False, '{"action":"refocus","why":"x","new_query":null}': False, '{"action":["stop"],"why":"x"}': False, '{"action":"stop","why":"x"}x': False}
     got = spark.createDataFrame([(t,) for t in choices], "t string").select("t", J.decision(F.col("t")).alias("ok")).collect()
     assert {r.t: r.ok for r in got} == choices
+
+
+def test_a_round_of_statistics_cuts_each_text_once(spark, tmp_path):
+    """Both tables come from one pass, and a round that is in already takes none; a null text counts as a document."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def said(x):
+        calls.add(1)
+        return x
+
+    docs = spark.createDataFrame([("a b a",), ("b c",), ("",), (None,)], "t string").repartition(2)
+    kept = Statistics(spark, f"file://{tmp_path}/once")
+    for _ in range(2):
+        kept.add(docs, F.udf(said, "string")(F.col("t")), 0)
+    assert calls.value == 4 and kept.totals() == (4, 5)
+    assert sorted(map(tuple, kept.terms.read().collect())) == [("a", 1), ("b", 2), ("c", 1)]
