@@ -144,13 +144,14 @@ def _measured(batches):
             k = int((q[at] == p).sum()) if len(q) else 0
             shared.append(k)
             joint.append(len(p) + len(q) - k)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())], ["a", "b", "shared", "joint"])
+        own = [c for c in batch.schema.names if c not in ("x", "y")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())], [*own, "shared", "joint"])
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: a, b. Gives a, b, shared and joint (sizes of intersection and union)."""
+    """pairs: a, b and other longs. Adds shared and joint (sizes of intersection and union)."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, shared long, joint long")
+    return both.select(*pairs.columns, "x", "y").mapInArrow(_measured, ", ".join(f"{c} long" for c in [*pairs.columns, "shared", "joint"]))
 
 
 def _to_pivots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,6 +217,7 @@ def _pivot_rounds(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     pick = cells.groupBy("key").agg(F.max_by("id", inmost).alias("pivot"))
     cells = cut(cells.join(pick, "key").select(F.col("pivot").alias("key"), "id", "n", "held").distinct())
     cells = _merged(cells, sets, percent)
+    drop_shuffles(cells.sparkSession)
     for k in range(PIVOTS):
         free = F.col("id") if not k else F.when(~reduce(lambda p, q: p | q, [F.col(f"d{i}") <= far for i in range(k)]), F.col("id"))
         pick = cells.groupBy("key").agg(F.max_by(free, F.when(free.isNotNull(), inmost)).alias("pivot"), F.count("*").alias("size"))
@@ -225,6 +227,7 @@ def _pivot_rounds(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
         d = F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
         cells = cells.join(found.drop("linked"), ["id", "pivot"], "left").select("key", "id", "n", "held", *[f"d{i}" for i in range(k)], F.when(F.col("pivot").isNotNull(), d).otherwise(0.0).alias(f"d{k}"))
         cells = cut(cells)
+        drop_shuffles(cells.sparkSession)
     return reduce(DataFrame.unionByName, links), cells
 
 
@@ -290,10 +293,10 @@ def _strays(cells: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component."""
+    """Pairs whose ends are not in one component, and those components as of_a and of_b (an id that is in none stands for itself)."""
     ends = [comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
     met = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-    return met.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+    return met.select("a", "b", F.coalesce("ca", "a").alias("of_a"), F.coalesce("cb", "b").alias("of_b")).where("of_a != of_b")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -321,8 +324,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     drop_shuffles(docs.sparkSession)
     # one candidate each first, the one most met: most others are then in one component already
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    linked = lambda p: measure(p, sets).where(100 * F.col("shared") >= percent * F.col("joint")).select("a", "b")
-    links = linked(first)
+    linked = lambda p: measure(p, sets).where(100 * F.col("shared") >= percent * F.col("joint"))
+    links = linked(first).select("a", "b")
     if not crowded.isEmpty():
         to_pivots, crowded = _pivot_rounds(crowded, sets, percent)
         links = links.unionByName(to_pivots)
@@ -334,11 +337,13 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         rest = rest.unionByName(_strays(crowded, comps, sets, percent)).distinct()
     rest = cut(_apart(rest, comps))
     drop_shuffles(docs.sparkSession)
-    more = cut(linked(rest))
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
+    more = cut(linked(rest).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
     sets.unpersist()
     own = reps.select("digest", "id", "doc_id").join(comps, "id", "left")
+    if not more.isEmpty():
+        # later links join whole components, so only these are nodes now
+        merged = components(more).select(F.col("id").alias("node"), F.col("component").alias("into"))
+        own = own.withColumn("node", F.coalesce("component", "id")).join(merged, "node", "left").withColumn("component", F.coalesce("into", "component"))
     least = own.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     named = own.join(least, "component", "left").select("digest", F.coalesce("least", "doc_id").alias("component"))
     joined = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
