@@ -102,8 +102,16 @@ def distinct(known: np.ndarray, word: np.ndarray, text: np.ndarray, k: int, owne
         name = word[at - k + 1]
         for j in range(k - 2, -1, -1):
             name = name << bits | word[at - j]
-        order = np.argsort(name, kind="stable") if owners else None
-        name = name[order] if owners else np.sort(name)
+        few = bits * k + int(text[-1]).bit_length() <= 63 if owners and len(name) else False
+        if few:  # the text fits in, too, so numbers alone are sorted here as well
+            shift = int(text[-1]).bit_length()
+            name = np.sort(name << shift | text[at])
+            owner, name = (name & ((1 << shift) - 1)).astype(text.dtype), name >> shift
+        elif owners:
+            order = np.argsort(name, kind="stable")
+            owner, name = text[at[order]], name[order]
+        else:
+            name = np.sort(name)
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(name)))
         name = name[first]
@@ -111,13 +119,14 @@ def distinct(known: np.ndarray, word: np.ndarray, text: np.ndarray, k: int, owne
     else:
         rows = np.stack([word[at - j] for j in range(k - 1, -1, -1)])
         order = np.lexsort(rows[::-1])
+        owner = text[at[order]]
         first = np.flatnonzero(np.concatenate([[True], (rows[:, order[1:]] != rows[:, order[:-1]]).any(0)])) if len(order) else np.zeros(0, np.int64)
         n = np.diff(np.append(first, len(order)))
         parts_ = [known[r[order[first]]] for r in rows]
     level = parts_
     while len(level) > 2:
         level = [longer(a, b, k - len(level) + 2) for a, b in zip(level, level[1:], strict=False)]
-    return level[0], level[-1], n, *((np.repeat(np.arange(len(n)), n), text[at[order]]) if owners else (None, None))
+    return level[0], level[-1], n, *((np.repeat(np.arange(len(n)), n), owner) if owners else (None, None))
 
 
 @dataclass

@@ -140,6 +140,20 @@ def test_tokens():
     assert code[0] == code[6] and len(np.unique(code)) == 4 and code[3] == code[4] == code[5] == code[7]
 
 
+def test_owners_need_no_order_of_names(monkeypatch):
+    """Where an n-gram and its text fit one number, numbers alone are sorted."""
+    rng = np.random.default_rng(1)
+    known, word, text = T._mixed(np.arange(9).astype(np.uint64)), rng.integers(0, 9, 400), np.repeat(np.arange(40, dtype=np.int32), 10)
+    of = {}
+    for i in range(1, 400):
+        if text[i] == text[i - 1]:
+            of.setdefault((int(known[word[i - 1]]), int(known[word[i]])), []).append(int(text[i]))
+    monkeypatch.delattr(T.np, "argsort")
+    ctx, low, n, place, owner = T.distinct(known, word, text, 2)
+    assert owner.dtype == text.dtype and n.tolist() == np.bincount(place).tolist()
+    assert {(int(c), int(w)): owner[place == i].tolist() for i, (c, w) in enumerate(zip(ctx, low, strict=True))} == of
+
+
 @pytest.mark.parametrize("k", [2, 3, 5])
 def test_distinct_either_way(k):
     """An n-gram's parts may or may not fit one number; both ways give the same, up to order."""
